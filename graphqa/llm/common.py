@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: whole texts, some of them very long, pass through Python."""
+    """Prepare a session for Python stages: small Arrow batches, as some texts are very long, and this package on every executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="graphqa-ship-"), f"{package.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -132,3 +132,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     outside = [F.when((F.col(m) < F.col("limits")[m]["low"]) | (F.col(m) > F.col("limits")[m]["high"]), F.lit(m)) for m in METRICS]
     j = j.withColumn("failed_rules", F.array_compact(F.array(*outside)))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), F.concat_ws(",", "failed_rules").alias("failed_rules"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that quality_rules keeps; rows without a doc_id go with the first such verdict that keeps one."""
+    good = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_good"]), "left_semi")

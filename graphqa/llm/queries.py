@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, mixing, quality, simhash, tokenfile, toxicity
+from . import chat, decontaminate, htmltext, lines, mixing, quality, simhash, suffixes, tokenfile, toxicity
 from .common import shared_dir, table
 
 
@@ -45,6 +45,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents")).drop("edges")
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
@@ -72,6 +76,10 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
 def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
@@ -80,5 +88,5 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_decontaminate, op3_quality_rules, op5_poisson_mix, op6_simhash_pigeonring, op7_token_blocks, op9_html_consensus, op10_toxicity_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_decontaminate, op3_quality_rules, op4_suffix_spans, op5_poisson_mix, op6_simhash_pigeonring, op7_token_blocks, op8_fuzzy_lines, op9_html_consensus, op10_toxicity_neighbours)}
 ORACLE_SQL = {"op1_chat_rotation": OP1_SQL, "op5_poisson_mix": OP5_SQL}
