@@ -1,0 +1 @@
+"""graphqa: graph queries whose answers come with validation facts, on Spark."""
