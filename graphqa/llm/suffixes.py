@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, drop_written, small_batches
 
 SPAN, GRAM = 200, 32
 #: Bytes hashed at once; longer texts are cut into overlapping stretches.
@@ -99,8 +99,14 @@ def _stretches(texts: list[tuple[bytes, bytes]]) -> Iterator[list[tuple[bytes, i
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()  # a task's copies of a text are one; 16 bytes a row
     for b in batches:
-        for part in _stretches(list(zip(b.column("cls").to_pylist(), (x.encode() for x in b.column("text").to_pylist()), strict=True))):
+        new = {}
+        for c, x in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if c not in seen:
+                seen.add(c)
+                new[c] = x.encode()
+        for part in _stretches(list(new.items())):
             ends = np.cumsum([len(x[2]) for x in part])
             first, last, _, h = anchors(np.frombuffer(b"".join(x[2] for x in part), np.uint8), ends)
             doc = np.searchsorted(ends, first, side="right")
@@ -127,7 +133,12 @@ def suffix_order(data: bytes, need: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     decided = np.minimum.accumulate(at[::-1])[::-1]
     small = step[np.minimum(decided, n - 1)] > 0  # smaller than its successor
     direct = np.nonzero(small & need)[0]
-    ranked = np.array(sorted(direct.tolist(), key=lambda i: data[i : i + SPAN]), np.int64)
+    if data.count(0) == len(gaps):
+        key = lambda i: data[i : i + SPAN]
+    else:  # zero bytes within texts sort after separators
+        wide = s.astype(">u2").tobytes()
+        key = lambda i: wide[2 * i : 2 * (i + SPAN)]
+    ranked = np.array(sorted(direct.tolist(), key=key), np.int64)
     heads = s[ranked]
     cuts = np.searchsorted(heads, np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -316,6 +327,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = by_class.join(lead, "cls")
     texts = long.select("cls", F.coalesce("doc_id", F.lit(-1)).alias("lead"), "text")
     touched = checkpoint(texts.join(wanted, ["cls", "lead"]).select("cls", "text", "spots"))
+    drop_written(found)
     deal = touched.mapInArrow(_fragments, FRAGMENTS).repartition("h", "part").sortWithinPartitions("h", "part")
     first = checkpoint(deal.mapInArrow(_sorted_groups(False), MARKS))
     marks = first.where("fragment is null").select("cls", "start", "stop")
