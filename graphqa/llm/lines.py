@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .common import checkpoint, connected_components
 
 #: Lines link at this Jaccard similarity of their sets of GRAM-character strings.
 SIMILARITY, GRAM = 0.8, 5
-#: Signatures hash the ANCHORED characters from each word's start on; every character's, where words are long.
-ANCHORED, LONG_WORD = 8, 16
+#: Mean length of words beyond which signatures take strings from every character on.
+LONG_WORD = 16
 #: A band is the RUN least hashes from its start on; BAND_BITS top bits of the hash number the bands.
 BAND_BITS, RUN = 3, 3
 #: Lines of a bucket compared pair by pair; larger buckets are dealt into such chunks, anew each round.
@@ -21,14 +23,17 @@ MIN_CHARS = 12
 
 def normal(line: Column) -> Column:
     """Lower case, white space runs as one space, no space at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    low = F.lower(line)
+    odd = [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")]
+    return F.trim(F.when(reduce(Column.__or__, odd), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def _sorted_hashes(line: Column) -> Column:
-    words = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{ANCHORED - 1}}}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(rf"(?=(.{{{ANCHORED}}}))"), F.lit(1))
-    grams = F.when(F.length(line) > LONG_WORD * (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1), every).otherwise(words)
-    return F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
+    """Hashes of character strings from each word's start to the third character of the next word; of all GRAM + 3 characters, where words are long."""
+    words = F.split(line, " ")
+    anchored = F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.coalesce(F.get(words, i + 1), F.lit("")), 1, 3)))
+    every = F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM + 3}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+    return F.sort_array(F.array_distinct(F.when(F.length(line) > LONG_WORD * F.size(words), every).otherwise(anchored)))
 
 
 def _bands(h: str) -> Column:
@@ -48,7 +53,8 @@ def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(a, b): pairs of different lines (line_id, line) that share a band's key."""
-    keyed = lines.select("line_id", _sorted_hashes(F.col("line")).alias("h")).select("line_id", F.explode(_bands("h")).alias("key")).repartition("key")
+    hashed = lines.select("line_id", _sorted_hashes(F.col("line")).alias("h")).select("line_id", F.explode(_bands("h")).alias("key"))
+    keyed = hashed.distinct().repartition("key")  # copies of a line meet only after counting as one in each task
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("least")).where("n > 1")
     shared = checkpoint(keyed.join(sizes, "key"))
     found = _pairs(shared.where(F.col("n") <= CHUNK), ["key"])
@@ -61,15 +67,16 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def _grams(line: Column) -> Column:
-    return F.array_distinct(F.when(F.length(line) <= GRAM, F.array(line)).otherwise(F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g).cast("string"))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
 
 
 def links(lines: DataFrame) -> DataFrame:
     """The candidate pairs whose exact Jaccard similarity reaches SIMILARITY."""
     pairs = checkpoint(candidates(lines))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    sets = checkpoint(lines.join(ends, "line_id").select("line_id", _grams(F.col("line")).alias("g")))
-    j = pairs.join(sets.select(F.col("line_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("line_id").alias("b"), F.col("g").alias("gb")), "b")
+    own = checkpoint(lines.join(ends, "line_id").select("line_id", "line").dropDuplicates(["line_id"]))
+    j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(own.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
+    j = j.select("a", "b", _grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     size_ok = F.least(F.size("ga"), F.size("gb")) >= SIMILARITY * F.greatest(F.size("ga"), F.size("gb"))
     return j.where(size_ok).where(both >= SIMILARITY * (F.size("ga") + F.size("gb") - both)).select("a", "b")
@@ -88,10 +95,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     Of each component of equal or similar lines the first by (doc_id, line_no) stays.
     """
     at = F.struct("doc_id", "line_no")
-    every = line_table(docs)
+    text = line_table(docs)
+    every = checkpoint(text.select("doc_id", "line_no", "line_id"))
     first = checkpoint(every.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n")))
-    own = checkpoint(every.join(first.select("line_id", "at.*"), ["line_id", "doc_id", "line_no"]).select("line_id", "line").dropDuplicates(["line_id"]))
-    comp = connected_components(links(own)).select(F.col("id").alias("line_id"), "component")
+    comp = connected_components(links(text.select("line_id", "line"))).select(F.col("id").alias("line_id"), "component")
     rooted = checkpoint(first.join(comp, "line_id", "left").select("line_id", "at", "n", F.coalesce("component", "line_id").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("total")).where("total > 1")
     drop = rooted.join(kept, "root").select("line_id", "keep")
