@@ -28,12 +28,15 @@ def normal(line: Column) -> Column:
     return F.trim(F.when(reduce(Column.__or__, odd), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
-def _sorted_hashes(line: Column) -> Column:
-    """Hashes of character strings from each word's start to the third character of the next word; of all GRAM + 3 characters, where words are long."""
-    words = F.split(line, " ")
+def hashes(lines: DataFrame) -> DataFrame:
+    """(line_id, h): sorted hashes of the character strings from each word's start to the third character
+    of the next word; of all GRAM + 3 characters, where words are long. words is a column of its own,
+    so that it is split once and not once for each word."""
+    line, words = F.col("line"), F.col("words")
     anchored = F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.coalesce(F.get(words, i + 1), F.lit("")), 1, 3)))
     every = F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM + 3}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
-    return F.sort_array(F.array_distinct(F.when(F.length(line) > LONG_WORD * F.size(words), every).otherwise(anchored)))
+    grams = F.when(F.length(line) > LONG_WORD * F.size(words), every).otherwise(anchored)
+    return lines.withColumn("words", F.split("line", " ")).select("line_id", F.sort_array(F.array_distinct(grams)).alias("h"))
 
 
 def _bands(h: str) -> Column:
@@ -53,7 +56,7 @@ def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(a, b): pairs of different lines (line_id, line) that share a band's key."""
-    hashed = lines.select("line_id", _sorted_hashes(F.col("line")).alias("h")).select("line_id", F.explode(_bands("h")).alias("key"))
+    hashed = hashes(lines).select("line_id", F.explode(_bands("h")).alias("key"))
     keyed = hashed.distinct().repartition("key")  # copies of a line meet only after counting as one in each task
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("least")).where("n > 1")
     shared = checkpoint(keyed.join(sizes, "key"))
