@@ -23,6 +23,8 @@ SEED = 11
 ITEMS = 20_000
 #: Latent cosine of a candidate; shared words and longest common subsequence, as parts of the item's words.
 MIN_COSINE, MIN_LCS, PARAPHRASE_LCS = 0.25, 0.8, 0.6
+#: Part of a benchmark passage's latent length that a candidate covers in its direction; a passage cut by half has about half.
+MIN_COVER = 0.25
 #: Shorter items must stand in a document word for word; answers are this long at least.
 SHORT, ANSWER = 8, 5
 WORD = re.compile(r"\w+")
@@ -174,10 +176,13 @@ def find(bench: Benchmark, project: np.ndarray, latent: np.ndarray, ids: np.ndar
     z = sums[:-1] + sums[1:]
     norm = np.sqrt((z * z).sum(axis=1))
     z /= np.maximum(norm, 1e-9)[:, None]
+    lengths = np.sqrt((latent * latent).sum(axis=1))
+    unit = latent / np.maximum(lengths, 1e-9)[:, None]
     found: dict[int, float] = {}
     tried: set[tuple[int, int]] = set()
     for k in range(0, len(z), 4096):
-        window, passage = np.nonzero(z[k : k + 4096] @ latent.T >= MIN_COSINE)
+        cosine = z[k : k + 4096] @ unit.T
+        window, passage = np.nonzero((cosine >= MIN_COSINE) & (cosine * norm[k : k + 4096, None] >= MIN_COVER * lengths))
         for w, p in zip((window + k).tolist(), passage.tolist(), strict=True):
             item, own = bench.passages[p]
             if item in found:
@@ -268,6 +273,5 @@ def _judged(d: DataFrame, benchmark: DataFrame) -> DataFrame:
         vectors = randomized_svd(passages, idf, sent)
         project = (vectors[bench.dim] * idf[:, None]).astype(np.float32)
         latent = np.stack([project[p].sum(axis=0) for _, p in bench.passages])
-        latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-9)[:, None]
         out = out.mapInArrow(_search(sc.broadcast((bench, project, latent))), out.schema)
     return out
