@@ -16,7 +16,7 @@ LONG_WORD = 16
 #: A band is the RUN least hashes from its start on; BAND_BITS top bits of the hash number the bands.
 BAND_BITS, RUN = 3, 3
 #: Lines of a bucket compared pair by pair; larger buckets are dealt into such chunks, anew each round.
-CHUNK, ROUNDS = 24, 3
+CHUNK, ROUNDS = 8, 3
 #: Shorter lines are never removed.
 MIN_CHARS = 12
 
