@@ -2,50 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import checkpoint, connected_components, drop_written
 
 #: Lines link at this Jaccard similarity of their sets of GRAM-character strings.
 SIMILARITY, GRAM = 0.8, 5
 #: Mean length of words beyond which signatures take strings from every character on.
 LONG_WORD = 16
-#: A band is the RUN least hashes from its start on; BAND_BITS top bits of the hash number the bands.
-BAND_BITS, RUN = 3, 3
+#: A signature has BANDS keys, each of ROWS minima.
+BANDS, ROWS = 8, 3
 #: Lines of a bucket compared pair by pair; larger buckets are dealt into such chunks, anew each round.
 CHUNK, ROUNDS = 8, 3
 #: Shorter lines are never removed.
 MIN_CHARS = 12
 
 
-def normal(line: Column) -> Column:
-    """Lower case, white space runs as one space, no space at the ends."""
-    low = F.lower(line)
-    odd = [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")]
-    return F.trim(F.when(reduce(Column.__or__, odd), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+def normal(text: Column) -> Column:
+    """Lower case, white space runs within a line as one space."""
+    odd = [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")]
+    return F.when(reduce(Column.__or__, odd), F.regexp_replace(text, r"[\s&&[^\n]]+", " ")).otherwise(text)
 
 
-def hashes(lines: DataFrame) -> DataFrame:
-    """(line_id, h): sorted hashes of the character strings from each word's start to the third character
-    of the next word; of all GRAM + 3 characters, where words are long. words is a column of its own,
-    so that it is split once and not once for each word."""
-    line, words = F.col("line"), F.col("words")
-    anchored = F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.coalesce(F.get(words, i + 1), F.lit("")), 1, 3)))
-    every = F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM + 3}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
-    grams = F.when(F.length(line) > LONG_WORD * F.size(words), every).otherwise(anchored)
-    return lines.withColumn("words", F.split("line", " ")).select("line_id", F.sort_array(F.array_distinct(grams)).alias("h"))
+def grams(lines: DataFrame) -> DataFrame:
+    """(line_id, h), exploded: hashes of the character strings from each word's start to the third character
+    of the next word; of all GRAM + 3 characters, where words are long."""
+    every = F.regexp_extract_all("line", F.lit(rf"(?=(.{{{GRAM + 3}}}))"), F.lit(1))
+    split = lines.withColumn("split", F.split("line", " "))
+    words = split.select("line_id", F.when(F.length("line") > LONG_WORD * F.size("split"), every).otherwise(F.col("split")).alias("words"))
+    ends = words.withColumn("ends", F.slice("words", 2, F.size("words")))
+    each = ends.select("line_id", F.inline(F.arrays_zip("words", "ends")))
+    return each.select("line_id", F.xxhash64("words", F.substring(F.coalesce("ends", F.lit("")), 1, 3)).alias("h"))
 
 
-def _bands(h: str) -> Column:
-    """A key for each band that starts within the hashes: the band's RUN least hashes, read in a circle."""
-    n = F.size(h)
-    at = lambda i: F.get(F.col(h), i % n)
-    number = lambda x: F.shiftright(x, 64 - BAND_BITS)
-    first = lambda x, i: (i == 0) | (number(x) != number(F.get(F.col(h), i - 1)))
-    return F.array_compact(F.transform(h, lambda x, i: F.when(first(x, i), F.xxhash64(number(x), x, *[at(i + k) for k in range(1, RUN)]))))
+def _salt(k: int) -> int:
+    """The k-th permutation: hashes are ordered by their distance, as numbers under XOR, from this one."""
+    return int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest(), "big", signed=True)
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(line_id, keys): the BANDS keys of each different line; copies in a task count as one before they are sent."""
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(_salt(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    signed = grams(lines).groupBy("line_id").agg(*least)
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + k}" for k in range(ROWS)]) for b in range(BANDS)]
+    return signed.select("line_id", F.array(*keys).alias("keys"))
 
 
 def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -55,22 +59,28 @@ def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): pairs of different lines (line_id, line) that share a band's key."""
-    hashed = hashes(lines).select("line_id", F.explode(_bands("h")).alias("key"))
-    keyed = hashed.distinct().repartition("key")  # copies of a line meet only after counting as one in each task
+    """(a, b): pairs of different lines (line_id, line) that share a band's key.
+
+    The chunks of a large bucket are ranges of a hash of line_id, halved until they are small: buckets
+    of much the same lines have the same chunks, and so the same pairs.
+    """
+    signed = checkpoint(signatures(lines))
+    keyed = signed.select("line_id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("least")).where("n > 1")
     shared = checkpoint(keyed.join(sizes, "key"))
+    drop_written(signed)
     found = _pairs(shared.where(F.col("n") <= CHUNK), ["key"])
     hot = shared.where(F.col("n") > CHUNK)
     found = found.unionAll(hot.where("line_id <> least").select(F.col("least").alias("a"), F.col("line_id").alias("b")))
+    bits = F.ceil(F.log2(F.col("n") / (CHUNK // 2))).cast("int")
     for k in range(ROUNDS):
-        dealt = hot.withColumn("chunk", F.pmod(F.xxhash64(F.lit(k), "line_id"), F.ceil(F.col("n") / (CHUNK // 2)).cast("long")))
+        dealt = hot.withColumn("chunk", F.call_function("shiftright", F.xxhash64(F.lit(k), "line_id"), F.lit(64) - bits))
         found = found.unionAll(_pairs(dealt, ["key", "chunk"]))
     return found.distinct()
 
 
 def _grams(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
+    return F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -80,15 +90,15 @@ def links(lines: DataFrame) -> DataFrame:
     own = checkpoint(lines.join(ends, "line_id").select("line_id", "line").dropDuplicates(["line_id"]))
     j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(own.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
     j = j.select("a", "b", _grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    size_ok = F.least(F.size("ga"), F.size("gb")) >= SIMILARITY * F.greatest(F.size("ga"), F.size("gb"))
-    return j.where(size_ok).where(both >= SIMILARITY * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    shared = j.withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    return shared.where(F.col("both") >= SIMILARITY * F.size(F.array_union("ga", "gb"))).select("a", "b")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line_id) of the lines long enough to be judged, and line, the normalised text."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", normal(F.col("raw")).alias("line"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    d = low.select("doc_id", normal(F.col("text")).alias("text"))
+    x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", F.trim("raw").alias("line"))
     return x.where(F.length("line") >= MIN_CHARS).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line")
 
 
