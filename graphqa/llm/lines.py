@@ -88,8 +88,9 @@ def links(lines: DataFrame) -> DataFrame:
     pairs = checkpoint(candidates(lines))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     own = checkpoint(lines.join(ends, "line_id").select("line_id", "line").dropDuplicates(["line_id"]))
-    j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(own.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    j = j.select("a", "b", _grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb"))
+    to_b = own.select(F.col("line_id").alias("b"), "line").repartition("b").select("b", _grams(F.col("line")).alias("gb"))  # once a line, after its way
+    j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(to_b, "b")
+    j = j.select("a", "b", _grams(F.col("la")).alias("ga"), "gb")
     shared = j.withColumn("both", F.size(F.array_intersect("ga", "gb")))
     return shared.where(F.col("both") >= SIMILARITY * F.size(F.array_union("ga", "gb"))).select("a", "b")
 
