@@ -320,7 +320,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = checkpoint(long.select("cls", "text").mapInArrow(_anchor_rows, "cls binary, h long, first long, last long"))
     place = F.xxhash64("cls", "first")
     dup = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
-    dup = dup.select("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    dup = checkpoint(dup.select("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))  # written, so the join's sides are plain shuffles that AQE can split
     spots = found.join(dup, "h").withColumn("part", F.pmod(place, F.col("parts")).cast("int"))
     by_class = spots.groupBy("cls").agg(F.collect_set(F.struct("h", "parts", "part", "first", "last")).alias("spots"))  # bounded by a text
     lead = long.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("lead"))
@@ -328,6 +328,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = long.select("cls", F.coalesce("doc_id", F.lit(-1)).alias("lead"), "text")
     touched = checkpoint(texts.join(wanted, ["cls", "lead"]).select("cls", "text", "spots"))
     drop_written(found)
+    drop_written(dup)
     deal = touched.mapInArrow(_fragments, FRAGMENTS).repartition("h", "part").sortWithinPartitions("h", "part")
     first = checkpoint(deal.mapInArrow(_sorted_groups(False), MARKS))
     marks = first.where("fragment is null").select("cls", "start", "stop")
