@@ -89,9 +89,9 @@ def links(lines: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     own = checkpoint(lines.join(ends, "line_id").select("line_id", "line").dropDuplicates(["line_id"]))
     j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(own.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    j = j.select("a", "b", _grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb"))
-    shared = j.withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return shared.where(F.col("both") >= SIMILARITY * F.size(F.array_union("ga", "gb"))).select("a", "b")
+    # A condition under a join is computed anew wherever a column of it stands: as a function's argument each set is made once.
+    sets = F.array(F.struct(_grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb")))
+    return j.where(F.exists(sets, lambda g: F.size(F.array_intersect(g["ga"], g["gb"])) >= SIMILARITY * F.size(F.array_union(g["ga"], g["gb"])))).select("a", "b")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
