@@ -108,8 +108,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     Of each component of equal or similar lines the first by (doc_id, line_no) stays.
     """
     at = F.struct("doc_id", "line_no")
-    text = line_table(docs)
-    every = checkpoint(text.select("doc_id", "line_no", "line_id"))
+    text = checkpoint(line_table(docs))
+    every = text.select("doc_id", "line_no", "line_id")
     first = checkpoint(every.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n")))
     comp = connected_components(links(text.select("line_id", "line"))).select(F.col("id").alias("line_id"), "component")
     rooted = checkpoint(first.join(comp, "line_id", "left").select("line_id", "at", "n", F.coalesce("component", "line_id").alias("root")))
