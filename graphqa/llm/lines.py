@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +11,8 @@ from .common import checkpoint, connected_components, drop_written
 
 #: Lines link at this Jaccard similarity of their sets of GRAM-character strings.
 SIMILARITY, GRAM = 0.8, 5
-#: Mean length of words beyond which signatures take strings from every character on.
-LONG_WORD = 16
-#: A signature has BANDS keys, each of ROWS minima.
-BANDS, ROWS = 8, 3
+#: A signature has BANDS keys, each of ROWS minima: a pair of similarity 0.8 shares one with chance 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
+BANDS, ROWS = 10, 3
 #: Lines of a bucket compared pair by pair; larger buckets are dealt into such chunks, anew each round.
 CHUNK, ROUNDS = 8, 3
 #: Shorter lines are never removed.
@@ -28,25 +25,20 @@ def normal(text: Column) -> Column:
     return F.when(reduce(Column.__or__, odd), F.regexp_replace(text, r"[\s&&[^\n]]+", " ")).otherwise(text)
 
 
-def grams(lines: DataFrame) -> DataFrame:
-    """(line_id, h), exploded: hashes of the character strings from each word's start to the third character
-    of the next word; of all GRAM + 3 characters, where words are long."""
-    every = F.regexp_extract_all("line", F.lit(rf"(?=(.{{{GRAM + 3}}}))"), F.lit(1))
-    split = lines.withColumn("split", F.split("line", " "))
-    words = split.select("line_id", F.when(F.length("line") > LONG_WORD * F.size("split"), every).otherwise(F.col("split")).alias("words"))
-    ends = words.withColumn("ends", F.slice("words", 2, F.size("words")))
-    each = ends.select("line_id", F.inline(F.arrays_zip("words", "ends")))
-    return each.select("line_id", F.xxhash64("words", F.substring(F.coalesce("ends", F.lit("")), 1, 3)).alias("h"))
+def _grams(line: Column) -> Column:
+    """Hashes of all strings of GRAM characters, the set that links() compares."""
+    return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
-def _salt(k: int) -> int:
-    """The k-th permutation: hashes are ordered by their distance, as numbers under XOR, from this one."""
-    return int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest(), "big", signed=True)
+def grams(lines: DataFrame) -> DataFrame:
+    """(line_id, h), exploded: hashes of all strings of GRAM characters."""
+    each = lines.select("line_id", F.explode(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))).alias("g"))
+    return each.select("line_id", F.xxhash64("g").alias("h"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(line_id, keys): the BANDS keys of each different line; copies in a task count as one before they are sent."""
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(_salt(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    least = [F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = grams(lines).groupBy("line_id").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + k}" for k in range(ROWS)]) for b in range(BANDS)]
     return signed.select("line_id", F.array(*keys).alias("keys"))
@@ -79,10 +71,6 @@ def candidates(lines: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _grams(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
-
-
 def links(lines: DataFrame) -> DataFrame:
     """The candidate pairs whose exact Jaccard similarity reaches SIMILARITY."""
     pairs = checkpoint(candidates(lines))

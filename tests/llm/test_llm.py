@@ -305,6 +305,26 @@ def test_fuzzy_lines(spark, empty):
     assert "mapIn" not in lines.dedup_lines(df)._jdf.queryExecution().toString()
 
 
+def near_pairs(n, n_words, seed):
+    """Pairs of lines of a few long words that differ by one character and reach the similarity."""
+    r, out = random.Random(seed), []
+    while len(out) < n:
+        a = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(10, 16))) for _ in range(n_words))
+        at = r.randrange(len(a))
+        b = a[:at] + r.choice("0123456789") + a[at + 1 :]
+        x, y = ({s[k : k + 5] for k in range(len(s) - 4)} for s in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            out.append((a, b))
+    return out
+
+
+def test_short_lines_of_few_words_become_candidates(spark):
+    made = near_pairs(600, 4, 5)
+    df = spark.createDataFrame([(2 * k + e, x) for k, p in enumerate(made) for e, x in enumerate(p)], "line_id long, line string")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in lines.candidates(df).collect()}
+    assert sum((2 * k, 2 * k + 1) in got for k in range(600)) >= 0.985 * 600
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
