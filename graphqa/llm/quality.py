@@ -22,9 +22,10 @@ METRICS = ("word_len", "symbols", "dup_lines", "repeats")
 FINE = 32
 #: A group with fewer documents than this uses its language's, then the whole corpus's, sketch.
 MIN_GROUP = 200
-#: A value is rejected beyond `middle half +- SPREAD * its width`; widths below the floor count as the floor.
-SPREAD = 6.0
-FLOOR = {"word_len": 1000, "symbols": 100, "dup_lines": 150, "repeats": 60}
+#: A value is rejected beyond the 90 % quantile by SPREAD times its distance from the median, or below the 10 % one alike;
+#: distances below the floor count as the floor. Beyond 10 % of a group, junk would be its normal.
+SPREAD = 3.0
+FLOOR = {"word_len": 250, "symbols": 10, "dup_lines": 100, "repeats": 60}
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -97,18 +98,18 @@ def thresholds(stats: DataFrame) -> DataFrame:
             step = lambda a, x: F.when(a["seen"] >= F.col("total") * q, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["b"].alias("b")))
             return _value(F.aggregate("h", start, step, lambda a: a["b"]))
 
-        return h.select(*keys, "metric", F.col("total").alias(f"{tag}_n"), at(0.25).alias(f"{tag}_25"), at(0.75).alias(f"{tag}_75"))
+        return h.select(*keys, "metric", F.col("total").alias(f"{tag}_n"), at(0.1).alias(f"{tag}_10"), at(0.5).alias(f"{tag}_50"), at(0.9).alias(f"{tag}_90"))
 
     own, lang, every = quantiles(fine, ["lang", "source"], "own"), quantiles(by_lang, ["lang"], "lang"), quantiles(of_all, [], "all")
     same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    t = groups.join(own, same(groups, own, ["lang", "source", "metric"]), "left").select(groups["lang"], groups["source"], groups["metric"], "own_n", "own_25", "own_75")
-    t = t.join(lang, same(t, lang, ["lang", "metric"]), "left").select(t["*"], "lang_n", "lang_25", "lang_75")
+    t = groups.join(own, same(groups, own, ["lang", "source", "metric"]), "left").select(groups["lang"], groups["source"], groups["metric"], "own_n", "own_10", "own_50", "own_90")
+    t = t.join(lang, same(t, lang, ["lang", "metric"]), "left").select(t["*"], "lang_n", "lang_10", "lang_50", "lang_90")
     t = t.join(every, "metric", "left")
     pick = lambda q: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{q}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
     floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv]), F.col("metric")).cast("double")
-    t = t.select("lang", "source", "metric", pick("25").alias("q25"), pick("75").alias("q75"), floor.alias("floor"))
-    width = F.greatest(F.col("q75") - F.col("q25"), F.col("floor"))
-    return t.select("lang", "source", "metric", (F.col("q25") - SPREAD * width).alias("low"), (F.col("q75") + SPREAD * width).alias("high"))
+    t = t.select("lang", "source", "metric", pick("10").alias("q10"), pick("50").alias("q50"), pick("90").alias("q90"), floor.alias("floor"))
+    below, above = F.greatest(F.col("q50") - F.col("q10"), F.col("floor")), F.greatest(F.col("q90") - F.col("q50"), F.col("floor"))
+    return t.select("lang", "source", "metric", (F.col("q10") - SPREAD * below).alias("low"), (F.col("q90") + SPREAD * above).alias("high"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

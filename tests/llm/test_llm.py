@@ -130,6 +130,22 @@ def test_quality_thresholds_reject_junk_only(spark):
     assert all(got[k].kept for k in range(600)) and not any(got[1000 + k].kept for k in range(20))
 
 
+def test_quality_each_metric_rejects(spark):
+    clean = [(k, words(60 + k % 40, k), "en", "s0") for k in range(400)]
+    start = words(12, 7)
+    planted = {
+        "word_len": "longestwordofall " + " ".join(w + "abcdefgh" for w in words(60, 1001).split()),
+        "symbols": " ".join(w + ("#" if k % 8 == 0 else "") for k, w in enumerate(words(64, 1002).split())),
+        "dup_lines": "\n".join([words(6, 1003 + k // 2 if k < 16 else 2000 + k) for k in range(20)]),
+        "repeats": start + " " + words(60, 1004) + " " + start + " " + words(6, 1005),
+    }
+    rows = clean + [(1000 + k, t, "en", "s0") for k, t in enumerate(planted.values())]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in range(400))
+    for k, metric in enumerate(planted):
+        assert not got[1000 + k].base_failed and metric in got[1000 + k].failed_rules.split(","), (metric, got[1000 + k])
+
+
 # ---- 4 -------------------------------------------------------------------------------------
 
 
