@@ -25,6 +25,8 @@ ITEMS = 20_000
 MIN_COSINE, MIN_LCS, PARAPHRASE_LCS = 0.25, 0.8, 0.6
 #: Part of a benchmark passage's latent length that a candidate covers in its direction; a passage cut by half has about half.
 MIN_COVER = 0.25
+#: So many of an item's rare words must stand near each other before a place is compared, where the item has so many.
+RARE = 3
 #: Shorter items must stand in a document word for word; answers are this long at least.
 SHORT, ANSWER = 8, 5
 WORD = re.compile(r"\w+")
@@ -63,6 +65,48 @@ class Benchmark:
         # Passages of items: as long as those of documents.
         self.passages = [(k, ws[at : at + 2 * HALF]) for k, ws in enumerate(self.words) for at in range(0, max(1, len(ws) - HALF), HALF)]
 
+    def index(self, idf: np.ndarray) -> None:
+        """Postings of each item's rarest words: no stretch that same() accepts has fewer than need[k] of them."""
+        terms, items, self.need = [], [], np.ones(len(self.words), np.int64)
+        for k, ws in enumerate(self.words):
+            t, n = np.unique(ws, return_counts=True)
+            order = np.lexsort((t, -idf[t]))
+            t, n = t[order], n[order]
+            least = len(ws) if len(ws) < SHORT else int(np.ceil(PARAPHRASE_LCS * len(ws) - 1e-9))
+            left = np.append(len(ws) - np.cumsum(n), -1)  # words of the item that are not among its first k + 1
+            for need in range(min(RARE, len(t)), 0, -1):
+                spare = int(np.sort(n)[::-1][: need - 1].sum())
+                if spare < least:
+                    break
+            size = int(np.argmax(left + spare < least)) + 1
+            self.need[k] = min(need, size)
+            terms.append(t[:size])
+            items.append(np.full(len(t[:size]), k))
+        term, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, items))
+        order = np.argsort(term, kind="stable")
+        self.post_items = item[order]
+        self.post_at = np.searchsorted(term[order], np.arange(len(self.number) + 1))
+        self.wide = np.array([len(ws) + max(4, len(ws) // 4) for ws in self.words], np.int64)
+
+    def places(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item, place) where the item's rare words stand near enough to each other; none that holds an item is left out."""
+        at = np.nonzero(ids >= 0)[0]
+        n = self.post_at[ids[at] + 1] - self.post_at[ids[at]]
+        at, n = at[n > 0], n[n > 0]
+        if not len(at):
+            return []
+        start = np.repeat(self.post_at[ids[at]] - np.append(0, np.cumsum(n)[:-1]), n)
+        item, place = self.post_items[start + np.arange(len(start))], np.repeat(at, n)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        term, found = ids[place], []
+        last = np.searchsorted(item, item, side="right")
+        stop = np.minimum(np.searchsorted(item * (len(ids) + 1) + place, item * (len(ids) + 1) + np.minimum(place + self.wide[item], len(ids)), side="left"), last)
+        for k in np.nonzero(stop - np.arange(len(item)) >= self.need[item])[0].tolist():
+            if len(set(term[k : stop[k]].tolist())) >= self.need[item[k]]:
+                found.append((int(item[k]), int(place[k])))
+        return found
+
     def encode(self, text: str | None) -> np.ndarray:
         """The text's words as numbers of benchmark words, -1 for others."""
         get = self.number.get
@@ -195,6 +239,12 @@ def find(bench: Benchmark, project: np.ndarray, latent: np.ndarray, ids: np.ndar
             likeness = same(words, around, bench.answers[item])
             if likeness:
                 found[item] = likeness
+    for item, place in bench.places(ids):  # the exact way: what the latent space does not hold
+        if item not in found:
+            wide = int(bench.wide[item])
+            likeness = same(bench.words[item], ids[max(0, place - wide) : place + wide], bench.answers[item])
+            if likeness:
+                found[item] = likeness
     return sorted((int(bench.ids[i]), s) for i, s in found.items())
 
 
@@ -235,7 +285,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items: the item_ids of benchmark (item_id, text) that the document holds, exactly or as a
     paraphrase; likeness: the largest part of an item's words found in order. Candidates come from
     cosines between passages in the latent space of a randomised SVD of the benchmark's TF-IDF
-    passages, with document frequencies over all of docs; the longest common subsequence and the
+    passages, with document frequencies over all of docs, and from places that hold enough of an item's
+    rarest words, which no accepted place lacks; the longest common subsequence and the
     item's answer (its last sentence) decide. Case and punctuation don't count. Null and empty texts
     hold nothing; null, empty or wordless items match nothing; a null item_id is left out; repeated
     items and rows are each judged; empty tables give no rows or no leaks; other columns are not read.
@@ -269,6 +320,7 @@ def _judged(d: DataFrame, benchmark: DataFrame) -> DataFrame:
         counts = {r["term"]: r["n"] for r in d.select("text").mapInArrow(_document_counts(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         df = np.array([counts.get(t, 0) for t in range(n)], np.float64)
         idf = np.log((2 + counts.get(-1, 0)) / (1 + df)) + 0.05
+        bench.index(idf)
         passages = spark.createDataFrame([(p.tolist(),) for _, p in bench.passages], "terms array<long>").repartition(-(-len(bench.passages) // 2000))
         vectors = randomized_svd(passages, idf, sent)
         project = (vectors[bench.dim] * idf[:, None]).astype(np.float32)

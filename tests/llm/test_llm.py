@@ -89,6 +89,17 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, b).count() == 0 and decontaminate.contamination(docs, b.limit(0)).where("leaked").count() == 0
 
 
+def test_items_outside_the_latent_space_are_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 1)  # as 128 for a benchmark of very many items
+    monkeypatch.setattr(decontaminate, "OVER", 1)
+    vocabulary = [f"term{k}" for k in range(300)]
+    items = [(k, words(4 + k % 13, 5000 + k, vocabulary)) for k in range(400)]
+    docs = [(k, words(90, 9000 + k, vocabulary) + " " + items[k][1] + " " + words(90, 19000 + k, vocabulary)) for k in range(0, 400, 2)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(d, b).collect()}
+    assert [k for k, _ in docs if k not in got[k]] == []
+
+
 def test_lcs():
     r = random.Random(1)
     for _ in range(50):
