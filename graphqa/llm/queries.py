@@ -15,25 +15,25 @@ from .common import shared_dir, table
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
-    return r.select("conv_id", "speaker", "part", "sub_part", "n_turns", "text", spans.alias("mask"))
+    return r.select("conv_id", "speaker", "part", "n_turns", "text", spans.alias("mask"))
 
 
 OP1_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT row_number() OVER () AS id, conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS NOT NULL AND role <> 'system'),
 p AS (
-  SELECT t.conv_id, speaker, CAST(floor(turn / 32) AS BIGINT) AS part, turn, role, text, role IS NOT DISTINCT FROM speaker AS own,
+  SELECT id, t.conv_id, speaker, turn, role, text, role IS NOT DISTINCT FROM speaker AS own,
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user'
       ELSE 'user name=' || replace(role, '<|', '<' || chr(8203) || '|') END || chr(10) AS head,
     replace(text, '<|', '<' || chr(8203) || '|') || '<|im_end|>' AS body
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 q AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role NULLS FIRST, text
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role NULLS FIRST, text, id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM p)
-SELECT conv_id, speaker, part, '' AS sub_part, count(*) AS n_turns,
-  string_agg(head || body || chr(10), '' ORDER BY turn, role NULLS FIRST, text) AS text,
-  coalesce(string_agg(CASE WHEN own THEN CAST(begins AS BIGINT) || '-' || CAST(begins + length(body) AS BIGINT) END, ',' ORDER BY turn, role NULLS FIRST, text), '') AS mask
-FROM q GROUP BY conv_id, speaker, part
+SELECT conv_id, speaker, 0::BIGINT AS part, count(*) AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn, role NULLS FIRST, text, id) AS text,
+  coalesce(string_agg(CASE WHEN own THEN CAST(begins AS BIGINT) || '-' || CAST(begins + length(body) AS BIGINT) END, ',' ORDER BY turn, role NULLS FIRST, text, id), '') AS mask
+FROM q GROUP BY conv_id, speaker
 """
 
 
