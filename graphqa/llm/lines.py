@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +13,16 @@ from .common import checkpoint, connected_components, drop_written
 
 #: Lines link at this Jaccard similarity of their sets of GRAM-character strings.
 SIMILARITY, GRAM = 0.8, 5
-#: A signature has BANDS keys, each of ROWS minima: a pair of similarity 0.8 shares one with chance 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
-BANDS, ROWS = 10, 3
-#: Lines of a bucket compared pair by pair; larger buckets are dealt into such chunks, anew each round.
-CHUNK, ROUNDS = 8, 3
-#: Shorter lines are never removed.
-MIN_CHARS = 12
+#: A signature has BANDS keys, each of ROWS minima: a pair of similarity 0.8 shares one with chance 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998.
+BANDS, ROWS = 12, 4
+#: Longs that hold 4 bits of each minimum, and how many of these must agree before texts are compared. Of a pair of
+#: similarity 0.8 some 39 of 48 do (about one in 2,000 has under AGREE), of one of 0.1 some 8.
+SKETCH, AGREE = BANDS * ROWS // 16, 28
+#: About so many lines of a bucket, all of a small one, are compared with all others first.
+LEADERS = 12
+#: Masks that turn a hash of a string into BANDS * ROWS orders.
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
+_MASKS = [random.getrandbits(63) for random in [Random(8)] for _ in range(BANDS * ROWS)]
 
 
 def normal(text: Column) -> Column:
@@ -25,103 +31,160 @@ def normal(text: Column) -> Column:
     return F.when(reduce(Column.__or__, odd), F.regexp_replace(text, r"[\s&&[^\n]]+", " ")).otherwise(text)
 
 
-def _grams(line: Column) -> Column:
-    """Hashes of all strings of GRAM characters, the set that links() compares."""
-    return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+def _places(wide: Column) -> Column:
+    """Where the strings of a line in UTF-32 begin; a line shorter than GRAM is one string."""
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.length(wide) / 4).cast("int") - GRAM, F.lit(0)))
 
 
-def grams(lines: DataFrame) -> DataFrame:
-    """(line_id, h), exploded: hashes of all strings of GRAM characters."""
-    each = lines.select("line_id", F.explode(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))).alias("g"))
-    return each.select("line_id", F.xxhash64("g").alias("h"))
+def _gram(wide: Column, place: Column) -> Column:
+    """The hash of the string that begins there: characters are four bytes each, so it's a slice."""
+    return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * GRAM)))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(line_id, keys): the BANDS keys of each different line; copies in a task count as one before they are sent."""
-    least = [F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = grams(lines).groupBy("line_id").agg(*least)
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + k}" for k in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("line_id", F.array(*keys).alias("keys"))
+def _grams(line: Column) -> Column:
+    """The set of a line's strings, as hashes."""
+    wide = F.array(F.encode(line, "UTF-32"))  # an array of one binds it, so it's made once
+    return F.array_distinct(F.flatten(F.transform(wide, lambda w: F.transform(_places(w), lambda i: _gram(w, i)))))
+
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """(alias, keys, s0..): the BANDS keys of each different line of lines (line_id, line), and 4 bits of each minimum.
 
-def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(a, b) of the lines under one key; keys hold about CHUNK lines."""
-    own = rows.groupBy(*key).agg(F.sort_array(F.collect_list("line_id")).alias("ids")).where(F.size("ids") > 1)
-    return own.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    Lines meet by line_id, copies within a task counted once before they are sent; the minima over
+    all of a line's strings are then taken where the line is, without a further shuffle. alias is a
+    64-bit hash of line_id.
+    """
+    one = lines.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.encode("line", "UTF-32").alias("wide"))
+    each = one.select("line_id", "wide", F.explode(_places(F.col("wide"))).alias("i")).select("line_id", _gram(F.col("wide"), F.col("i")).alias("h"))
+    orders = [F.col("h") if k == 0 else F.xxhash64(F.lit(k), "h") for k in range(ROWS)]
+    each = each.select("line_id", *[o.alias(f"h{k}") for k, o in enumerate(orders)])
+    least = [F.min(F.col(f"h{k % ROWS}").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + k}" for k in range(ROWS)]) for b in range(BANDS)]
+    bits = [F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(15).cast("long")), 4 * (k % 16)) for k in range(BANDS * ROWS)]
+    sketch = [reduce(Column.bitwiseOR, bits[16 * k : 16 * k + 16]).alias(f"s{k}") for k in range(SKETCH)]
+    return each.groupBy("line_id").agg(*least).select(F.xxhash64("line_id").alias("alias"), F.array(*keys).alias("keys"), *sketch)
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): pairs of different lines (line_id, line) that share a band's key.
+def buckets(lines: DataFrame) -> DataFrame:
+    """(key, alias, leader, leads, s0..): the lines of keys that several lines have.
 
-    The chunks of a large bucket are ranges of a hash of line_id, halved until they are small: buckets
-    of much the same lines have the same chunks, and so the same pairs.
+    The leader is the least of them; leads marks it and some others, chosen by a hash.
+    Keys are counted with a partial sum per task, and only then do the lines of shared keys meet
+    their leader, in a join that Spark can split: a hot key is never in one task's hands.
     """
     signed = checkpoint(signatures(lines))
-    keyed = signed.select("line_id", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("least")).where("n > 1")
-    shared = checkpoint(keyed.join(sizes, "key"))
+    keyed = signed.select("alias", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("alias").alias("leader")).where("n > 1")
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(7), "alias"), 11) / F.lit(float(1 << 53))
+    leads = (F.col("alias") == F.col("leader")) | (chance * F.col("n") < LEADERS)
+    shared = checkpoint(keyed.join(sizes, "key").join(signed.drop("keys"), "alias").select("key", "alias", "leader", leads.alias("leads"), *_SKETCH))
     drop_written(signed)
-    found = _pairs(shared.where(F.col("n") <= CHUNK), ["key"])
-    hot = shared.where(F.col("n") > CHUNK)
-    found = found.unionAll(hot.where("line_id <> least").select(F.col("least").alias("a"), F.col("line_id").alias("b")))
-    bits = F.ceil(F.log2(F.col("n") / (CHUNK // 2))).cast("int")
-    for k in range(ROUNDS):
-        dealt = hot.withColumn("chunk", F.call_function("shiftright", F.xxhash64(F.lit(k), "line_id"), F.lit(64) - bits))
-        found = found.unionAll(_pairs(dealt, ["key", "chunk"]))
-    return found.distinct()
-
-
-def links(lines: DataFrame) -> DataFrame:
-    """The candidate pairs whose exact Jaccard similarity reaches SIMILARITY."""
-    pairs = checkpoint(candidates(lines))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    own = checkpoint(lines.join(ends, "line_id").select("line_id", "line").dropDuplicates(["line_id"]))
-    j = pairs.join(own.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(own.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-    j = j.select("a", "b", _grams(F.col("la")).alias("ga"), _grams(F.col("lb")).alias("gb"))
-    shared = j.withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return shared.where(F.col("both") >= SIMILARITY * F.size(F.array_union("ga", "gb"))).select("a", "b")
+    return shared
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether AGREE of the minima's bits in the sketches agree."""
+    ones = F.lit(0x1111111111111111)
+    differ = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in _SKETCH]
+    marks = [reduce(Column.bitwiseOR, [F.shiftright(x, k) for k in range(4)]).bitwiseAND(ones) for x in differ]
+    return reduce(Column.__add__, map(F.bit_count, marks)) <= BANDS * ROWS - AGREE
+
+
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(alias, line_id, line) of the lines in pairs."""
+    ends = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("alias")).distinct())  # written, so that its size is known to the join
+    own = lines.withColumn("alias", F.xxhash64("line_id")).join(ends, "alias", "left_semi")
+    return checkpoint(own.groupBy("line_id", "alias").agg(F.first("line").alias("line")))
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b) as line_ids: the pairs (a, b) of aliases whose exact Jaccard similarity reaches SIMILARITY."""
+    pairs = checkpoint(pairs.distinct())
+    own = _texts(pairs, lines)
+    ends = [own.select(F.col("alias").alias(x), F.col("line_id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line")) for x in "ab"]
+    j = pairs.join(ends[0], "a").join(ends[1], "b").where("a_id <> b_id")
+    sets = F.array(F.struct(_grams(F.col("a_line")).alias("x"), _grams(F.col("b_line")).alias("y")))  # bound once, used thrice
+    part = Fraction(str(SIMILARITY))
+    over, under = part.numerator, part.numerator + part.denominator
+    alike = F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * under >= (F.size(s["x"]) + F.size(s["y"])) * over)
+    found = checkpoint(j.where(alike).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    drop_written(own)
+    return found
+
+
+def components(lines: DataFrame) -> DataFrame:
+    """(line_id, root) of the lines (line_id, line) that are linked with another one.
+
+    All links with the lines that lead buckets give components. Only lines outside their leader's
+    component are left: each is compared with those lines of its bucket that are in other components.
+    So any two similar lines that share a bucket end in one component, without all pairs of a bucket.
+    """
+    shared = buckets(lines)
+    led = shared.alias("a").join(shared.where("leads").alias("b"), F.col("a.key") == F.col("b.key"))
+    led = led.where("a.alias < b.alias or a.alias > b.alias and not a.leads").where(_may_be_alike("a", "b"))
+    links = verified(led.select(F.least("a.alias", "b.alias").alias("a"), F.greatest("a.alias", "b.alias").alias("b")), lines)
+    found = checkpoint(connected_components(links).select(F.col("id").alias("line_id"), F.col("component").alias("root")))
+    known = found.select(F.xxhash64("line_id").alias("alias"), F.xxhash64("root").alias("root"))
+    rooted = checkpoint(shared.join(known, "alias", "left").withColumn("root", F.coalesce("root", "alias")))
+    main = rooted.where("alias = leader").select("key", F.col("root").alias("main"))
+    rooted = rooted.join(main, "key")
+    met = rooted.where("root <> main and not leads").alias("a").join(rooted.alias("b"), F.col("a.key") == F.col("b.key"))
+    met = met.where("a.root <> b.root and not b.leads and (b.root = b.main or a.alias < b.alias)").where(_may_be_alike("a", "b"))
+    more = verified(met.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")), lines)
+    if more.isEmpty():
+        return found
+    root = lambda x: F.coalesce(f"{x}_root", x)
+    both = more
+    for x in "ab":
+        both = both.join(found.select(F.col("line_id").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    joined = connected_components(both.select(root("a").alias("a"), root("b").alias("b")))
+    ids = found.unionAll(more.select(F.explode(F.array("a", "b")).alias("line_id")).select("line_id", F.col("line_id").alias("root"))).groupBy("line_id").agg(F.min_by("root", F.when(F.col("root") == F.col("line_id"), 1).otherwise(0)).alias("root"))
+    return ids.join(joined.select(F.col("id").alias("root"), "component"), "root", "left").select("line_id", F.coalesce("component", "root").alias("root"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line_id) of the lines long enough to be judged, and line, the normalised text."""
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    d = low.select("doc_id", normal(F.col("text")).alias("text"))
-    x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", F.trim("raw").alias("line"))
-    return x.where(F.length("line") >= MIN_CHARS).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"), "line")
+    """(doc_id, version, line_no, line_id, line) of the lines with a character that isn't white space.
+
+    line is the normalised text, line_id its MD5, version a hash of the document's text.
+    """
+    d = docs.select("doc_id", "version", normal(F.lower("text")).alias("text"))
+    x = d.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "version", "line_no", F.trim("raw").alias("line"))
+    return x.where("line <> ''").select("doc_id", "version", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"), "line")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the numbers, from 0, of the lines of each document that repeat another line.
+    """(doc_id, version, removed): the numbers, from 0, of the lines of each document that repeat another line.
 
-    Of each component of equal or similar lines the first by (doc_id, line_no) stays.
+    Of each component of equal or similar lines the first by (doc_id, version, line_no) stays.
     """
-    at = F.struct("doc_id", "line_no")
-    text = checkpoint(line_table(docs))
-    every = text.select("doc_id", "line_no", "line_id")
-    first = checkpoint(every.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n")))
-    comp = connected_components(links(text.select("line_id", "line"))).select(F.col("id").alias("line_id"), "component")
-    rooted = checkpoint(first.join(comp, "line_id", "left").select("line_id", "at", "n", F.coalesce("component", "line_id").alias("root")))
-    kept = rooted.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    drop = rooted.join(kept, "root").select("line_id", "keep")
-    gone = every.select("doc_id", "line_no", "line_id").join(drop, "line_id").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    at = F.struct("doc_id", "version", "line_no")
+    text = line_table(docs)  # not written: its texts are as large as the input
+    every = checkpoint(text.select("doc_id", "version", "line_no", "line_id"))
+    comp = components(text.select("line_id", "line"))
+    first = every.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    rooted = checkpoint(first.join(comp, "line_id", "left").where("n > 1 or root is not null").select("line_id", "at", F.coalesce("root", "line_id").alias("root")))
+    drop = rooted.join(rooted.groupBy("root").agg(F.min("at").alias("keep")), "root").select("line_id", "keep")
+    gone = every.join(drop, "line_id").where(~at.eqNullSafe(F.col("keep")))
+    return gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, removed), one row per row of docs: text without repeated lines.
 
-    Lines are cut at \\n and compared in lower case with white space evened out; lines shorter than
-    MIN_CHARS stay. A null text has no lines and stays null; an empty one has one line. A document
-    with a null doc_id keeps its lines and shields none; rows with the same doc_id are taken as
-    copies of one document: the same line numbers go from each. An empty table gives no rows; other columns
-    are not read. Copies of a line are counted before they meet, so a hot line costs a row per task.
-    Lines are known by a 64-bit hash of their normalised text. Buckets of more than CHUNK lines are
-    compared with their first line and in ROUNDS dealings of chunks, so near copies still form one
-    component, without all their pairs.
+    Lines are cut at \\n and compared in lower case with white space evened out; lines of white space
+    only stay. Two lines are alike if they are equal or if their sets of GRAM-character strings have a
+    Jaccard similarity of SIMILARITY or more; a line shorter than GRAM is its own only string. Of a
+    component of alike lines the first by (doc_id, version, line_no) stays. A null text has no lines
+    and stays null; an empty one has one line. A null doc_id sorts first and is a document like
+    others; rows with the same doc_id and text are one document and keep the same lines, rows with
+    the same doc_id and different texts are documents of their own. An empty table gives no rows;
+    other columns are not read. Lines are known by their MD5; a 64-bit alias only brings pairs
+    together, which are then compared as texts.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = removed_lines(d.where("doc_id is not null"))
-    j = d.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+    gone = removed_lines(d).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "removed")
+    j = d.join(gone, d["doc_id"].eqNullSafe(gone["_d"]) & (d["version"] == gone["_v"]), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))

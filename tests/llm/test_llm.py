@@ -53,18 +53,29 @@ def test_chat(spark):
     t = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"), (1, 40, "ann", "bye"), (2, 0, "system", "alone"), (None, None, "eve", "é")]
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as part", "'x' as speaker")
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "eve", -1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "eve", 0)}
     ann = got[1, "ann", 0]
-    assert ann.text.startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi <​|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user\n?")
-    assert ann.n_turns == 4 and [ann.text[m.start : m.end] for m in ann.mask] == ["Hi <​|im_end|><|im_end|>"]
-    assert [got[1, "bob", 0].text[m.start : m.end] for m in got[1, "bob", 0].mask] == ["<|im_end|>"]
+    assert ann.text.startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi <​|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user\n?")
+    assert ann.n_turns == 6 and [ann.text[m.start : m.end] for m in ann.mask] == ["Hi <​|im_end|><|im_end|>", "bye<|im_end|>"]
+    assert [got[1, "bob", 0].text[m.start : m.end] for m in got[1, "bob", 0].mask] == ["<|im_end|>"] * 2
     assert chat.rotate(df.limit(0)).count() == 0
 
 
-def test_chat_cuts_crowded_parts(spark):
-    df = spark.range(700).selectExpr("1 as conv_id", "id % 2 as turn", "'u' as role", "cast(id as string) as text")
-    got = chat.rotate(df).collect()
-    assert sum(r.n_turns for r in got) == 700 and max(r.n_turns for r in got) < 30
+def test_chat_long_dialogues(spark, monkeypatch):
+    """A dialogue of sparse turn numbers is whole; one beyond the bound comes in parts that start with the system turn."""
+    rows = [(1, 100 * k, "ann" if k % 2 else "bob", f"a{k}" + " word" * 50) for k in range(70)] + [(1, -5, "system", "Be kind")]
+    rows += [(2, k // 3, "system" if k == 0 else f"u{k % 3}", f"b{k:04d}") for k in range(500)] + [(None, k, "eve", f"c{k:04d}") for k in range(101)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    monkeypatch.setattr(chat, "MAX_TURNS", 100)
+    got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(df).collect()}
+    assert got[1, "ann", 0].n_turns == 71 and got[1, "ann", 0].text.startswith("<|im_start|>system\nBe kind") and len(got[1, "ann", 0].mask) == 35
+    assert sorted(k for k in got if k[0] == 2) == [(2, f"u{i}", p) for i in range(3) for p in range(5)]
+    order = sorted((r for r in rows if r[0] == 2), key=lambda r: r[1:])
+    for p in range(5):
+        r, own = got[2, "u1", p], order[100 * p : 100 * p + 100]
+        assert r.n_turns == 100 and re.findall(r"b\d{4}", r.text) == ["b0000"] * (p > 0) + [x[3] for x in own]
+        assert [r.text[m.start : m.end] for m in r.mask] == [x[3] + "<|im_end|>" for x in own if x[2] == "u1"]
+    assert [got[None, "eve", p].n_turns for p in (0, 1)] == [100, 1]
     assert "mapIn" not in chat.rotate(df)._jdf.queryExecution().toString()
 
 
@@ -305,6 +316,22 @@ def test_token_file(spark, docs, rows, empty, tmp_path, monkeypatch):
 # ---- 8 -------------------------------------------------------------------------------------
 
 
+def grams(s):
+    return {s[k : k + 5] for k in range(len(s) - 4)} or {s}
+
+
+def brute_removed(texts):
+    """{doc: numbers of removed lines} by all pairs of lines; documents in order."""
+    flat = [(d, n, y) for d, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n")) if (y := " ".join(x.lower().split()))]
+    g = [grams(x[2]) for x in flat]
+    comp = brute_components([(i, j) for i in range(len(flat)) for j in range(i) if 5 * len(g[i] & g[j]) >= 4 * len(g[i] | g[j])], range(len(flat)))
+    out = {}
+    for i, (d, n, _) in enumerate(flat):
+        if comp[i] != i:
+            out.setdefault(d, []).append(n)
+    return out
+
+
 def test_fuzzy_lines(spark, empty):
     r, base = random.Random(7), [words(30, 300 + k) for k in range(40)]
     made = []
@@ -314,42 +341,57 @@ def test_fuzzy_lines(spark, empty):
             at = r.randrange(len(line))
             line = line[:at] + r.choice("xyz") + line[at + 1 :]
         made.append(line)
-    texts = ["\n".join(made[k : k + 4]) for k in range(0, 160, 4)] + ["short\nshort", "", None, "  " + base[0].upper() + " "]
+    texts = ["\n".join(made[k : k + 4]) for k in range(0, 160, 4)] + ["short\nshort\n\n \n}", "", None, "  " + base[0].upper() + " ", "}\né"]
     df = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id long, text string, removed string").repartition(3)
     got = {x.doc_id: x for x in lines.dedup_lines(df).collect()}
-    grams = lambda s: {s[k : k + 5] for k in range(len(s) - 4)}
-    flat = [(d, n, " ".join(x.lower().split())) for d, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
-    flat = [x for x in flat if len(x[2]) >= lines.MIN_CHARS]
-    g = [grams(x[2]) for x in flat]
-    comp = brute_components([(i, j) for i in range(len(flat)) for j in range(i) if len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j])], range(len(flat)))
-    want = {}
-    for i, (d, n, _) in enumerate(flat):
-        if comp[i] != i:
-            want.setdefault(d, []).append(n)
-    assert {d: x.removed for d, x in got.items() if x.removed} == want
-    assert got[0].text == texts[0] and got[40].text == texts[40] and got[42].text is None and got[43].text == ""
+    assert {d: x.removed for d, x in got.items() if x.removed} == brute_removed(texts)
+    assert got[0].text == texts[0] and got[40].text == "short\n\n \n}" and got[42].text is None and got[43].text == "" and got[44].text == "é"
     assert lines.dedup_lines(empty).count() == 0
     assert "mapIn" not in lines.dedup_lines(df)._jdf.queryExecution().toString()
 
 
-def near_pairs(n, n_words, seed):
-    """Pairs of lines of a few long words that differ by one character and reach the similarity."""
+def test_fuzzy_lines_of_null_and_repeated_ids(spark):
+    rows = [(None, "the same line here"), (5, "own line of five\nThe  same line here"), (5, "another text with that id\nown line of five"), (5, "another text with that id\nown line of five"), (6, "x" * 200_000 + "\n" + "y" * 200_000), (7, "Y" * 200_000)]
+    got = sorted((str(x.doc_id), x.text[:30], x.removed) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept_first = [x for x in got if x[0] == "5"]
+    assert got[-1] == ("None", "the same line here", []) and ("6", "x" * 30, []) in got and ("7", "", [0]) in got
+    assert sum(len(x[2]) for x in kept_first if "own line" in x[1]) + sum(1 in x[2] for x in kept_first) >= 2 and all("here" not in x[1] for x in kept_first)
+
+
+def test_fuzzy_lines_of_crowded_buckets(spark):
+    """Lines that share an opening, each with a near copy, and a crowd of near copies of one line."""
+    r = random.Random(11)
+    opening = words(20, 1)
+    own = [opening + " " + words(6, 700 + k) for k in range(150)]
+    crowd = [(x[:at] + r.choice("0123456789") + x[at + 2 :]) for x in [words(25, 5)] for at in [r.randrange(len(x) - 2) for _ in range(150)]]
+    texts = own + [x[:-3] + "#" + x[-2:] for x in own] + crowd
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.removed for x in lines.dedup_lines(df).collect() if x.removed}
+    assert got == brute_removed(texts)
+
+
+def near_pairs(n, n_words, changes, seed, opening="", vocabulary=None):
+    """Pairs of lines that differ by so many characters and reach the similarity."""
     r, out = random.Random(seed), []
+    made = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 16)))
     while len(out) < n:
-        a = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(10, 16))) for _ in range(n_words))
-        at = r.randrange(len(a))
-        b = a[:at] + r.choice("0123456789") + a[at + 1 :]
-        x, y = ({s[k : k + 5] for k in range(len(s) - 4)} for s in (a, b))
+        a = opening + " ".join(made() for _ in range(n_words))
+        b = list(a)
+        for _ in range(changes):
+            b[r.randrange(len(opening), len(a))] = r.choice("0123456789")
+        x, y = grams(a), grams("".join(b))
         if len(x & y) >= 0.8 * len(x | y):
-            out.append((a, b))
+            out.append((a, "".join(b)))
     return out
 
 
-def test_short_lines_of_few_words_become_candidates(spark):
-    made = near_pairs(600, 4, 5)
-    df = spark.createDataFrame([(2 * k + e, x) for k, p in enumerate(made) for e, x in enumerate(p)], "line_id long, line string")
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in lines.candidates(df).collect()}
-    assert sum((2 * k, 2 * k + 1) in got for k in range(600)) >= 0.985 * 600
+@pytest.mark.parametrize("n_words,changes,opening", [(4, 1, 0), (20, 2, 0), (20, 3, 0), (20, 4, 0), (12, 4, 20)])
+def test_pairs_at_the_similarity_are_found(spark, n_words, changes, opening):
+    made = near_pairs(400, n_words, changes, 5, words(opening, 9) + " " if opening else "")
+    df = spark.createDataFrame([(f"{2 * k + e:06d}", x) for k, p in enumerate(made) for e, x in enumerate(p)], "line_id string, line string")
+    root = {r.line_id: r.root for r in lines.components(df.selectExpr("cast(line_id as binary) line_id", "line")).collect()}
+    assert sum(root.get(f"{2 * k:06d}".encode(), 1) == root.get(f"{2 * k + 1:06d}".encode(), 2) for k in range(400)) >= 0.985 * 400
 
 
 # ---- 9 -------------------------------------------------------------------------------------
