@@ -17,6 +17,7 @@ from .plans.compile import Compiler
 from .plans.shapes import Shape, bare, load_shapes
 from .plans.sparql import Query, parse
 from .sources.store import GraphStore
+from .storage import materialize
 
 
 def _prepared(config: Config) -> tuple[Query | None, list[Shape], dict[str, list[str]], Config]:
@@ -50,12 +51,14 @@ def annotated(store: GraphStore, options: dict | Config) -> DataFrame:
     clock = stats.Clock()
     test = config.output_format == "test"
     executed = query if test or not config.reasoning else query.as_result_query()
+    timed = config.write_stats and bool(config.outputs)
+    done = materialize if timed else lambda df: df  # each stage is run within its time; else all are one plan
     with clock.stage("query"):
-        solutions = ops.with_ids(Compiler(store).run(executed))
+        solutions = done(ops.with_ids(Compiler(store).run(executed)))
         names = [c for c in solutions.columns if c not in ("id", "copies")]
         facts = ops.unpivot(solutions, names)
     with clock.stage("validation"):
-        validation = _validator(store, query, shapes, targets, config).facts()
+        validation = done(_validator(store, query, shapes, targets, config).facts())
         if config.outputs:
             validation.write.mode("overwrite").partitionBy("shape", "valid").parquet(f"{config.folder()}/validation")
     with clock.stage("join"):
@@ -65,7 +68,8 @@ def annotated(store: GraphStore, options: dict | Config) -> DataFrame:
         else:
             collected = ops.regroup_blocking(joined) if config.collect_all_validation_results else ops.regroup_complete(joined, targets)
             out = ops.simple_output(collected, query)
-    if config.write_stats and config.outputs:
+        out = done(out)
+    if timed:
         stats.append_csv(f"{config.folder()}/stats.csv", stats.STATS, clock.row(config.test_identifier, config.backend))
     return out
 
@@ -82,10 +86,11 @@ def to_json(df: DataFrame) -> list[str]:
 
 
 def validate_only(store: GraphStore, options: dict | Config, detail: bool = True) -> DataFrame:
-    """(shape, valid, invalid[, results])."""
+    """A row per judged instance (shape, instance, verdict), or without detail counts (shape, valid, invalid)."""
     config = options if isinstance(options, Config) else Config.from_dict(options)
     query, shapes, targets, config = _prepared(config)
-    return ops.shape_stats(_validator(store, query, shapes, targets, config).facts(), detail)
+    facts = _validator(store, query, shapes, targets, config).facts()
+    return ops.shape_members(facts) if detail else ops.shape_stats(facts)
 
 
 def reduced_names(options: dict | Config) -> list[str]:

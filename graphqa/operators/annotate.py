@@ -104,9 +104,11 @@ def test_output(joined: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
     return v.select(bucket.alias("bucket"), "instance", "reason").distinct()
 
 
-def shape_stats(validation: DataFrame, detail: bool = True) -> DataFrame:
-    """(shape, valid, invalid[, results]): counts, and each instance with its verdict."""
-    aggs = [F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid")]
-    if detail:
-        aggs.append(F.sort_array(F.collect_list(F.struct("instance", verdict(F.col("valid")).alias("verdict")))).alias("results"))
-    return validation.groupBy("shape").agg(*aggs)
+def shape_stats(validation: DataFrame) -> DataFrame:
+    """(shape, valid, invalid): counts."""
+    return validation.groupBy("shape").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+def shape_members(validation: DataFrame) -> DataFrame:
+    """(shape, instance, verdict): a row for each instance judged, so that no row holds a whole shape."""
+    return validation.select("shape", "instance", verdict(F.col("valid")).alias("verdict"))

@@ -36,6 +36,7 @@ class Validator:
         self.narrowed = narrowed or {}
         self.edges = dependencies(shapes)
         self.verdicts: dict[str, DataFrame] = {}
+        self.written: dict[str, DataFrame] = {}  # edges that a cycle reads in each round
 
     # ---- domains ---------------------------------------------------------------------------
 
@@ -55,7 +56,7 @@ class Validator:
         return reduce(DataFrame.unionAll, leads).distinct() if leads else self.store.spark.createDataFrame([], "s string")
 
     def _values(self, c: Constraint) -> DataFrame:
-        df = self.store.edges(c.path)
+        df = self.written.get(c.path) or self.store.edges(c.path)
         if c.inverse:
             df = df.select(F.col("o").alias("s"), F.col("s").alias("o"))
         return df.where(F.substring_index("o", "^^<", 1) == c.value) if c.value is not None else df
@@ -100,6 +101,8 @@ class Validator:
                 members[name] = self.verdicts[name].where("valid").select("s")
 
     def _fixpoint(self, group: list[str], members: dict[str, DataFrame]) -> None:
+        for path in {c.path for n in group for k in self.shapes[n].constraints for c in (k.options or (k,)) if c.ref in group}:
+            self.written[path] = materialize(self.store.edges(path))
         domains = {n: materialize(self.targets(n)) for n in group}
         falls = not any(c.kind == "max" and c.ref in group for n in group for k in self.shapes[n].constraints for c in (k.options or (k,)))
         now = dict(domains)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, Inverse, Iri, Lit, Var, flat, strip_datatype
 from ..sources.store import GraphStore
-from .sparql import Filter, Group, Optional, Query, Triple, Union, Values
+from .sparql import Bind, Filter, Group, Minus, Optional, Query, Triple, Union, Values, certain
 
 
 class Compiler:
@@ -58,52 +58,118 @@ class Compiler:
     # ---- groups ----------------------------------------------------------------------------
 
     def group(self, g: Group) -> DataFrame:
-        patterns = [i for i in g.items if isinstance(i, Triple)]
-        parts = [self.values(i) for i in g.items if isinstance(i, Values)]
-        parts += [self.run(i) for i in g.items if isinstance(i, Query)]
-        parts += [self.group(i) for i in g.items if isinstance(i, Group)]
-        parts += [self.union(i) for i in g.items if isinstance(i, Union)]
-        parts += [self.pattern(t) for t in sorted(dict.fromkeys(patterns), key=Triple.rank)]
-        df = self._joined(parts)
+        """Items in order: what OPTIONAL, MINUS and BIND follow is joined before them; filters come last."""
+        df, known, waiting = None, frozenset(), []
+
+        def joined() -> None:
+            nonlocal df, known
+            patterns = sorted(dict.fromkeys(i for i in waiting if isinstance(i, Triple)), key=Triple.rank)
+            parts = [(self.part(i), certain(i)) for i in [*(i for i in waiting if not isinstance(i, Triple)), *patterns]]
+            if df is not None:
+                parts.insert(0, (df, known))
+            waiting.clear()
+            df, known = self._joined(parts)
+
         for i in g.items:
-            if isinstance(i, Optional):
-                df = self._optional(df, i)
-        conditions = [self.condition(i.expr, df.columns) for i in g.items if isinstance(i, Filter)]
-        return df.where(reduce(Column.__and__, conditions)) if conditions else df
+            if isinstance(i, (Optional, Minus, Bind)):
+                if waiting or df is None:
+                    joined()
+                if isinstance(i, Optional):
+                    df = self._optional(df, known, i)
+                elif isinstance(i, Minus):
+                    df = self._without(df, known, i.group)
+                else:
+                    df = df.withColumn(i.name, self.condition(i.expr, df.columns).cast("string"))
+            elif not isinstance(i, Filter):
+                waiting.append(i)
+        if waiting or df is None:
+            joined()
+        for e in (x for i in g.items if isinstance(i, Filter) for x in _conjuncts(i.expr)):
+            if isinstance(e, tuple) and e[0] in ("exists", "notexists"):
+                df = self._existing(df, known, e[1], "left_semi" if e[0] == "exists" else "left_anti")
+            else:
+                df = df.where(self.condition(e, df.columns))
+        return df
 
-    def _joined(self, parts: list[DataFrame]) -> DataFrame:
+    def part(self, i) -> DataFrame:
+        make = {Triple: self.pattern, Values: self.values, Query: self.run, Group: self.group, Union: self.union}[type(i)]
+        return make(i)
+
+    def _joined(self, parts: list[tuple[DataFrame, frozenset]]) -> tuple[DataFrame, frozenset]:
         if not parts:
-            return self.store.spark.range(1).select()
-        df, left = parts[0], list(parts[1:])
+            return self.store.spark.range(1).select(), frozenset()
+        (df, known), left = parts[0], list(parts[1:])
         while left:
-            linked = next((p for p in left if set(p.columns) & set(df.columns)), None)
+            linked = next((p for p in left if set(p[0].columns) & set(df.columns)), None)
             if linked is None:
                 linked = left[0]
-                if any(set(a.columns) & set(b.columns) for k, a in enumerate(left) for b in left[k + 1 :] if a is linked or b is linked):
+                if any(set(a[0].columns) & set(b[0].columns) for k, a in enumerate(left) for b in left[k + 1 :] if a is linked or b is linked):
                     tail = self._joined(left)
-                    return self._natural(df, tail, "inner")
+                    return self._natural(df, known, *tail, "inner"), known | tail[1]
             left.remove(linked)
-            df = self._natural(df, linked, "inner")
-        return df
+            df, known = self._natural(df, known, *linked, "inner"), known | linked[1]
+        return df, known
 
     @staticmethod
-    def _natural(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    def _compatible(a: DataFrame, known_a: frozenset, b: DataFrame, known_b: frozenset) -> tuple[DataFrame, list[Column], list[str]]:
+        """b with its columns renamed, the conditions on shared variables, and these.
+
+        A variable bound on both sides must be equal, as a key that Spark can shuffle on; one that may be
+        unbound there fits anything.
+        """
         shared = [c for c in a.columns if c in b.columns]
-        if shared:
-            return a.join(b, shared, how)
-        return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        other = b.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in b.columns])
+        on = []
+        for c in shared:
+            x, y = F.col(f"`{c}`"), F.col(f"`_r_{c}`")
+            on.append(x == y if c in known_a and c in known_b else x.isNull() | y.isNull() | (x == y))
+        return other, on, shared
+
+    def _natural(self, a: DataFrame, known_a: frozenset, b: DataFrame, known_b: frozenset, how: str, conditions=None) -> DataFrame:
+        """a joined with b on the variables they share; a variable unbound in a takes b's value."""
+        if conditions is None and all(c in known_a and c in known_b for c in a.columns if c in b.columns):
+            shared = [c for c in a.columns if c in b.columns]
+            if shared:
+                return a.join(b, shared, how)
+            return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        other, on, shared = self._compatible(a, known_a, b, known_b)
+        on += conditions or []
+        j = a.join(other, reduce(Column.__and__, on) if on else F.lit(True), how)
+        merged = [F.coalesce(f"`{c}`", f"`_r_{c}`").alias(c) if c in shared and c not in known_a else F.col(f"`{c}`") for c in a.columns]
+        return j.select(*merged, *[F.col(f"`_r_{c}`").alias(c) for c in b.columns if c not in shared])
 
-    def _optional(self, df: DataFrame, o: Optional) -> DataFrame:
+    @staticmethod
+    def _merged(df: DataFrame, known: frozenset, right: DataFrame) -> dict[str, Column]:
+        """Variables of a renamed right side as a condition sees them beside df's."""
+        new = {c: F.col(f"`_r_{c}`") for c in right.columns if c not in df.columns}
+        return new | {c: F.coalesce(f"`{c}`", f"`_r_{c}`") for c in right.columns if c in df.columns and c not in known}
+
+    def _optional(self, df: DataFrame, known: frozenset, o: Optional) -> DataFrame:
         inner = Group(tuple(i for i in o.group.items if not isinstance(i, Filter)))
         right = self.group(inner)
         filters = [i.expr for i in o.group.items if isinstance(i, Filter)]
-        if not filters:
-            return self._natural(df, right, "left")
-        shared = [c for c in df.columns if c in right.columns]
-        aliased = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-        rename = {c: F.col(f"_r_{c}") for c in right.columns if c not in df.columns}
-        on = [F.col(c) == F.col(f"_r_{c}") for c in shared] + [self.condition(e, df.columns + right.columns, rename) for e in filters]
-        return df.join(aliased, reduce(Column.__and__, on), "left").select(*df.columns, *[c.alias(n) for n, c in rename.items()])
+        rename = self._merged(df, known, right)
+        conditions = [self.condition(e, [*df.columns, *right.columns], rename) for e in filters]
+        return self._natural(df, known, right, certain(inner), "left", conditions or None)
+
+    def _without(self, df: DataFrame, known: frozenset, g: Group) -> DataFrame:
+        """MINUS: rows go that fit a solution of g with which they have a bound variable in common."""
+        right, bound = self.group(g), certain(g)
+        other, on, shared = self._compatible(df, known, right, bound)
+        if not shared:
+            return df
+        if not any(c in known and c in bound for c in shared):
+            on.append(reduce(Column.__or__, [F.col(f"`{c}`").isNotNull() & F.col(f"`_r_{c}`").isNotNull() for c in shared]))
+        return df.join(other, reduce(Column.__and__, on), "left_anti")
+
+    def _existing(self, df: DataFrame, known: frozenset, g: Group, how: str) -> DataFrame:
+        """FILTER EXISTS as a semi-join, NOT EXISTS as an anti-join; filters of g see the outer variables too."""
+        inner = Group(tuple(i for i in g.items if not isinstance(i, Filter)))
+        right = self.group(inner)
+        other, on, _ = self._compatible(df, known, right, certain(inner))
+        rename = self._merged(df, known, right)
+        on += [self.condition(i.expr, [*df.columns, *right.columns], rename) for i in g.items if isinstance(i, Filter)]
+        return df.join(other, reduce(Column.__and__, on) if on else F.lit(True), how)
 
     def union(self, u: Union) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(self.group, u.groups))
@@ -198,6 +264,10 @@ class Compiler:
         return simple[op](*c)
 
 
+def _conjuncts(e) -> list:
+    return [x for a in e[1:] for x in _conjuncts(a)] if isinstance(e, tuple) and e[0] == "&&" else [e]
+
+
 def lexical(c: Column) -> Column:
     """A flat term's value: without datatype and language."""
     return F.regexp_replace(c, r"(\^\^<[^>]*>|(?<=.)@[A-Za-z]+(-[A-Za-z0-9]+)*)$", "")

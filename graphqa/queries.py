@@ -15,6 +15,7 @@ from .plans import reduce as red
 from .plans.compile import Compiler
 from .plans.shapes import Constraint, Shape
 from .plans.sparql import parse
+from .sources import turtle
 from .sources.store import BASE, key_of, node, tpch_store
 from .storage import shared_dir
 from .streaming import regroup
@@ -157,6 +158,61 @@ def bgp_variable_predicate(spark, sf_dir):
     return df.select(F.substring_index("p", ":", -1).alias("p"), "o")
 
 
+@registered("""
+SELECT r_regionkey AS r, n.n_nationkey AS x, n.n_name AS name FROM region
+LEFT JOIN (SELECT * FROM nation WHERE n_name LIKE 'F%') f ON f.n_regionkey = r_regionkey
+JOIN nation n ON f.n_nationkey IS NULL OR n.n_nationkey = f.n_nationkey""")
+def bgp_optional_chain(spark, sf_dir):
+    text = "SELECT ?r ?x ?name WHERE { ?r a :region OPTIONAL { ?r ^:n_regionkey ?x . ?x :n_name ?f FILTER(STRSTARTS(?f, 'F')) } ?x :n_name ?name }"
+    return ask(spark, sf_dir, text).select(key_of("r").alias("r"), key_of("x").alias("x"), "name")
+
+
+@registered("SELECT c_custkey AS c, c_mktsegment AS k FROM customer")
+def bgp_optional_twice(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?c ?k WHERE { ?c a :customer OPTIONAL { ?c :nothing ?k } OPTIONAL { ?c :c_mktsegment ?k } }").select(key_of("c").alias("c"), "k")
+
+
+@registered("""
+SELECT p_name AS name, n_name AS nation FROM part, nation WHERE p_size = 7
+UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def bgp_union_join(spark, sf_dir):
+    text = "SELECT ?name ?nation WHERE { { ?x :p_name ?name . ?x :p_size 7 } UNION { ?x :s_name ?name . ?x :s_nationkey ?n } ?n :n_name ?nation }"
+    return ask(spark, sf_dir, text)
+
+
+@registered("SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def bgp_minus(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?c WHERE { ?c a :customer MINUS { ?o :o_custkey ?c . ?o :o_orderpriority '1-URGENT' } }").select(key_of("c").alias("c"))
+
+
+@registered("""
+SELECT c_custkey AS c FROM customer WHERE c_mktsegment <> 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')""")
+def bgp_exists(spark, sf_dir):
+    text = """SELECT ?c WHERE { ?c :c_mktsegment ?s FILTER(?s != 'BUILDING' && EXISTS { ?c ^:o_custkey ?o . ?o :o_orderstatus 'P' })
+    FILTER NOT EXISTS { ?q :o_custkey ?c . ?q :o_orderpriority ?l FILTER(?l = '5-LOW') } }"""
+    return ask(spark, sf_dir, text).select(key_of("c").alias("c"))
+
+
+@registered("SELECT p_partkey AS p, CAST(p_size * 2 AS DOUBLE) AS twice FROM part WHERE p_size * 2 > 60")
+def bgp_bind(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?p ?twice WHERE { ?p :p_size ?s BIND(?s * 2 AS ?twice) FILTER(?twice > 60) }").select(key_of("p").alias("p"), F.col("twice").cast("double").alias("twice"))
+
+
+@registered("SELECT o_orderkey AS o, r_name AS r FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderpriority = '1-URGENT'")
+def bgp_sequence_path(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?o ?r WHERE { ?o :o_orderpriority '1-URGENT' ; :o_custkey/:c_nationkey/:n_regionkey/:r_name ?r }").select(key_of("o").alias("o"), "r")
+
+
+@registered("SELECT c_custkey AS c, c_name || chr(92) || 'new' || chr(10) || 'é😀\"' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE '' END AS lang FROM customer")
+def ntriples_scan(spark, sf_dir):
+    """Escapes of every kind, in files that split."""
+    path = f"{shared_dir(spark)}/ntriples-{uuid.uuid4().hex}"
+    made = [F.lit(f"<{BASE}customer/"), F.col("c_custkey"), F.lit(f'> <{BASE}c_name> "'), F.col("c_name"), F.lit('\\\\new\\n\\u00e9\\U0001F600\\""'), F.when(F.col("c_custkey") % 2 == 0, "@en").otherwise(""), F.lit(" . # note")]
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(*made)).write.text(path)
+    return turtle.read_rdf(spark, path, "ntriples").select(key_of("s").alias("c"), F.col("o").alias("name"), F.col("o_lang").alias("lang"))
+
+
 @registered("SELECT c_custkey AS x, c_name AS name FROM customer WHERE c_custkey = 42")
 def const_subject_star(spark, sf_dir):
     q = parse(PREFIX + f"SELECT ?name WHERE {{ <{BASE}customer/42> :c_name ?name }}").make_star()
@@ -265,7 +321,7 @@ def chain_validation(spark, sf_dir):
 
 @registered(CHAIN_SQL + "SELECT shape, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid FROM f GROUP BY shape")
 def shape_stats(spark, sf_dir):
-    return ops.shape_stats(facts(spark, sf_dir, CHAIN), detail=False)
+    return ops.shape_stats(facts(spark, sf_dir, CHAIN))
 
 
 @registered(f"""

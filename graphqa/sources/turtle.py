@@ -6,7 +6,7 @@ import re
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, XSD
@@ -202,6 +202,22 @@ def parse_rdfxml(text: str) -> list[tuple]:
     return out
 
 
+def _decoded(c: Column) -> Column:
+    """Escapes of N-Triples decoded from left to right, each once: pieces between and escapes are told apart first."""
+    piece = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)({piece})"), F.lit(1))
+    fixed = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\b": "\b", "\\f": "\f"}
+
+    def one(x: Column) -> Column:
+        code = F.lpad(F.substring(x, F.lit(3), F.length(x)), 8, "0")
+        out = F.when(x.rlike("^\\\\[uU][0-9A-Fa-f]{4}"), F.decode(F.unhex(code), "UTF-32"))
+        for mark, char in fixed.items():
+            out = out.when(x == mark, F.lit(char))
+        return out.when(F.startswith(x, F.lit("\\")), F.substring(x, F.lit(2), F.length(x))).otherwise(x)
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def triples_of(spark: SparkSession, text: str, form: str = "turtle") -> DataFrame:
     """Triples of a text held by the driver."""
     rows = parse_rdfxml(text) if form == "rdfxml" else parse_turtle(text)
@@ -213,13 +229,14 @@ def read_rdf(spark: SparkSession, path: str, form: str) -> DataFrame:
     if form == "ntriples":
         line = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\")(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?\s*\.\s*(?:#.*)?$"
         part = lambda k: F.regexp_extract("value", line, k)
-        bare = lambda c: F.regexp_replace(c, "^<(.*)>$", "$1")
         o = part(3)
         kind = F.when(o.startswith("<"), "iri").when(o.startswith("_:"), "bnode").otherwise("literal")
-        plain = o.substr(F.lit(2), F.length(o) - 2)
-        for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-            plain = F.replace(plain, F.lit(mark), F.lit(char))
-        rows = spark.read.text(path).where(part(2) != "")
+        plain = _decoded(o.substr(F.lit(2), F.length(o) - 2))
+        bare = lambda c: _decoded(F.regexp_replace(c, "^<(.*)>$", "$1"))
+        blank = F.col("value").rlike(r"^\s*(#.*)?$")
+        rows = spark.read.text(path).where(~blank)
+        bad = F.raise_error(F.concat(F.lit("unreadable N-Triples line: "), F.substring("value", 1, 200)))
+        rows = rows.where(F.when(F.col("value").rlike(line), True).otherwise(bad.cast("boolean")))
         return rows.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(kind == "literal", plain).otherwise(bare(o)).alias("o"), kind.alias("o_kind"), part(4).alias("o_dt"), part(5).alias("o_lang")).dropDuplicates()
     parse = parse_rdfxml if form == "rdfxml" else parse_turtle
 
