@@ -38,10 +38,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is configured."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one is made only in local mode, where the driver is the only machine."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="graphqa-checkpoint-")
         sc.setCheckpointDir(where)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import checkpoint, small_batches, words_of
 
@@ -20,8 +21,9 @@ MIN_WORDS = 20
 METRICS = ("word_len", "symbols", "dup_lines", "repeats")
 #: Sub-buckets for each power of two: a quantile is right to 1/32.
 FINE = 32
-#: A group with fewer documents than this uses its language's, then the whole corpus's, sketch.
-MIN_GROUP = 200
+#: To each group's sketch its language's and the whole corpus's are merged, each scaled to so many documents:
+#: a small group leans on them, a large one outweighs them, and no size is a switch.
+PRIOR = 100
 #: A value is rejected beyond the 90 % quantile by SPREAD times its distance from the median, or below the 10 % one alike;
 #: distances below the floor count as the floor. Beyond 10 % of a group, junk would be its normal.
 SPREAD = 3.0
@@ -55,14 +57,15 @@ def _repeated(words: list[bytes]) -> int:
     return total
 
 
-SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [text_stats(x) for x in b.column("text").to_pylist()]
         cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6
-        yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "lang", "source")] + cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
+        kept = [k for k in b.schema.names if k != "text"]
+        yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + cols, names=kept + [x.split()[0] for x in COUNTS.split(", ")])
 
 
 def _bucket(v: Column) -> Column:
@@ -90,24 +93,26 @@ def thresholds(stats: DataFrame) -> DataFrame:
     by_lang = fine.groupBy("lang", "metric", "b").agg(F.sum("n").alias("n"))
     of_all = fine.groupBy("metric", "b").agg(F.sum("n").alias("n"))
 
-    def quantiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        h = sketch.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("h"), F.sum("n").alias("total"))  # at most FINE * 60 buckets
+    def prior(sketch: DataFrame, keys: list[str]) -> DataFrame:
+        """The sketch scaled to PRIOR documents, for each group within it; weights in millionths of a document."""
+        named = [F.col(k).alias(f"_{k}") for k in keys]
+        total = sketch.groupBy(*keys).agg(F.sum("n").alias("total")).select(*named, "total")
+        part = sketch.join(total, [sketch[k].eqNullSafe(total[f"_{k}"]) for k in keys]).select(*named, "b", F.floor(F.col("n") * (PRIOR * 1_000_000) / F.col("total")).cast("long").alias("w"))
+        return groups.join(part, [groups[k].eqNullSafe(part[f"_{k}"]) for k in keys]).select("lang", "source", "metric", "b", "w")
 
-        def at(q: float) -> Column:
-            start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("b"))
-            step = lambda a, x: F.when(a["seen"] >= F.col("total") * q, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["b"].alias("b")))
-            return _value(F.aggregate("h", start, step, lambda a: a["b"]))
+    own = fine.select("lang", "source", "metric", "b", (F.col("n") * 1_000_000).alias("w"))
+    mixed = own.unionAll(prior(by_lang, ["lang", "metric"])).unionAll(prior(of_all, ["metric"])).groupBy("lang", "source", "metric", "b").agg(F.sum("w").alias("w"))
+    h = mixed.groupBy("lang", "source", "metric").agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("h"), F.sum("w").alias("total"))  # at most FINE * 60 buckets
 
-        return h.select(*keys, "metric", F.col("total").alias(f"{tag}_n"), at(0.1).alias(f"{tag}_10"), at(0.5).alias(f"{tag}_50"), at(0.9).alias(f"{tag}_90"))
+    def at(q: int) -> Column:
+        """The value below which q percent of the weight is."""
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("b"))
+        step = lambda a, x: F.when(a["seen"] * 100 >= F.col("total") * q, a).otherwise(F.struct((a["seen"] + x["w"]).alias("seen"), x["b"].alias("b")))
+        return _value(F.aggregate("h", start, step, lambda a: a["b"]))
 
-    own, lang, every = quantiles(fine, ["lang", "source"], "own"), quantiles(by_lang, ["lang"], "lang"), quantiles(of_all, [], "all")
-    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    t = groups.join(own, same(groups, own, ["lang", "source", "metric"]), "left").select(groups["lang"], groups["source"], groups["metric"], "own_n", "own_10", "own_50", "own_90")
-    t = t.join(lang, same(t, lang, ["lang", "metric"]), "left").select(t["*"], "lang_n", "lang_10", "lang_50", "lang_90")
-    t = t.join(every, "metric", "left")
-    pick = lambda q: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{q}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
+    t = h.select("lang", "source", "metric", *[at(q).alias(f"q{q}") for q in (10, 50, 90)])
     floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv]), F.col("metric")).cast("double")
-    t = t.select("lang", "source", "metric", pick("10").alias("q10"), pick("50").alias("q50"), pick("90").alias("q90"), floor.alias("floor"))
+    t = t.withColumn("floor", floor)
     below, above = F.greatest(F.col("q50") - F.col("q10"), F.col("floor")), F.greatest(F.col("q90") - F.col("q50"), F.col("floor"))
     return t.select("lang", "source", "metric", (F.col("q10") - SPREAD * below).alias("low"), (F.col("q90") + SPREAD * above).alias("high"))
 
@@ -122,9 +127,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     each judged; an empty table gives none; other columns, whatever their names, are not read.
     Documents that failed do not shape thresholds.
     """
+    j = _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")))
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """docs (text, lang, source and other columns) without text, with counts, base_failed, failed_rules and kept."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    s = slim.mapInArrow(_stats, SCHEMA)
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    s = docs.select("text", *[F.col(f"`{f.name}`") for f in others]).mapInArrow(_stats, StructType([*others, *StructType.fromDDL(COUNTS).fields]))
     per = lambda a, b: F.floor(F.lit(1000) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     s = s.withColumns({"word_len": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")})
     s = checkpoint(s.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
@@ -132,10 +143,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     j = s.join(t, s["lang"].eqNullSafe(t["lang"]) & s["source"].eqNullSafe(t["source"]), "left").select(s["*"], "limits")
     outside = [F.when((F.col(m) < F.col("limits")[m]["low"]) | (F.col(m) > F.col("limits")[m]["high"]), F.lit(m)) for m in METRICS]
     j = j.withColumn("failed_rules", F.array_compact(F.array(*outside)))
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), F.concat_ws(",", "failed_rules").alias("failed_rules"))
+    return j.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps; rows without a doc_id go with the first such verdict that keeps one."""
-    good = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_good"]), "left_semi")
+    """The rows of docs, whole, that the rules keep.
+
+    A verdict follows from text, lang and source alone, so rows meet theirs by these (the text by
+    its MD5): rows with the same doc_id or none are judged each for itself, repeated rows alike.
+    """
+    text, parts = F.col("text").cast("string"), ("lang", "source")
+    key = F.md5(text.cast("binary"))
+    good = _judged(docs.select(key.alias("_key"), text.alias("text"), *[F.col(c).cast("string").alias(c) for c in parts])).where("kept").select("_key", *[F.col(c).alias(f"_{c}") for c in parts]).distinct()
+    return docs.join(good, [key == good["_key"], *[docs[c].cast("string").eqNullSafe(good[f"_{c}"]) for c in parts]], "left_semi")

@@ -32,16 +32,20 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        f = np.fromiter((fingerprint(x) for x in b.column("text").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprints(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.fromiter((fingerprint(x) for x in b.column("text").to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(f.view(np.int64))], names=[key, "fp"])
 
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed 64-bit number."""
+
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fp) with fp as a signed 64-bit number."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(key), f"{key} {kind}, fp long")
 
 
 def _ring(fp: str, start: str) -> str:
@@ -83,7 +87,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     left out of component ids (null there unless a document with an id shares their class); an empty table
     gives no rows; other columns are not read. Copies cost one row per distinct fingerprint.
     """
-    own = checkpoint(fingerprints(docs))
+    own = checkpoint(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comp = connected_components(links(own)).select(F.col("id").alias("fp"), F.col("component").alias("root"))
     classes = checkpoint(first.join(comp, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
@@ -93,6 +97,16 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows with a null doc_id stay."""
-    lead = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
-    return docs.join(lead, docs["doc_id"] == lead["_lead"], "left").where("_lead is not null or doc_id is null").drop("_lead")
+    """One whole row of docs for each group of linked documents: that of the smallest doc_id.
+
+    A row without a doc_id stays only if its group has none with one; of rows with the same doc_id, or
+    of a group without any, the one whose content hashes least stays, of repeated rows one.
+    """
+    row, text = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.md5(text.cast("binary"))  # equal texts have equal fingerprints
+    prints = checkpoint(fingerprints(docs.select(key.alias("doc_key"), text.alias("text")), "doc_key").distinct())
+    comp = connected_components(links(prints)).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    rooted = prints.join(comp, "fp", "left").select("doc_key", F.coalesce("root", "fp").alias("root"))
+    rows = docs.select(key.alias("doc_key"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), row.alias("row")).alias("at"))
+    lead = rows.join(rooted, "doc_key").groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("_row"))
+    return docs.withColumn("_row", row).join(lead, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -168,6 +168,77 @@ def test_quality_each_metric_rejects(spark):
         assert not got[1000 + k].base_failed and metric in got[1000 + k].failed_rules.split(","), (metric, got[1000 + k])
 
 
+def brute_limits(rows):
+    """{(lang, source, metric): (low, high)} from whole lists of bucketed values, weights in millionths as in the sketches."""
+
+    def bucket(v):
+        e = max(v, 1).bit_length() - 1
+        return v if v < 32 else 32 * (e - 4) + (v >> (e - 5)) - 32
+
+    def value(b):
+        e = b // 32 + 4
+        return float(b) if b < 32 else (32 + b % 32) * 2.0 ** (e - 5) + 2.0 ** (e - 6)
+
+    out = {}
+    for m in quality.METRICS:
+        every, langs, own = Counter(), {}, {}
+        for lang, source, x in rows:
+            b = bucket(x[m])
+            every[b] += 1
+            langs.setdefault(lang, Counter())[b] += 1
+            own.setdefault((lang, source), Counter())[b] += 1
+        for (lang, source), h in own.items():
+            w = Counter({b: n * 10**6 for b, n in h.items()})
+            for more in (langs[lang], every):
+                for b, n in more.items():
+                    w[b] += int(n * quality.PRIOR * 10**6 / sum(more.values()))
+            total, q = sum(w.values()), {}
+            for part in (10, 50, 90):
+                seen = 0
+                for b in sorted(w):
+                    seen += w[b]
+                    if seen * 100 >= total * part:
+                        q[part] = value(b)
+                        break
+            floor = quality.FLOOR[m]
+            out[lang, source, m] = (q[10] - quality.SPREAD * max(q[50] - q[10], floor), q[90] + quality.SPREAD * max(q[90] - q[50], floor))
+    return out
+
+
+def brute_kept(rows):
+    """The verdict of each (text, lang, source)."""
+    stats = []
+    for text, lang, source in rows:
+        n, chars, symbols, dup, rep = brute_stats(text)
+        lines_ = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        metric = {"word_len": 1000 * chars // max(1, n), "symbols": 1000 * symbols // max(1, n), "dup_lines": 1000 * dup // max(1, lines_), "repeats": 1000 * rep // max(1, n)}
+        stats.append((n < 20 or 100 * rep > 30 * n, lang, source, metric))
+    limits = brute_limits([x[1:] for x in stats if not x[0]])
+    return [not bad and all(limits[lang, source, m][0] <= x[m] <= limits[lang, source, m][1] for m in quality.METRICS) for bad, lang, source, x in stats]
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    r = random.Random(3)
+    rows = [(words(40 + r.randrange(60), k), r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None])) for k in range(500)]
+    rows += [(" ".join(w + "#" * r.randrange(3) for w in words(50, k).split()), "en", "a") for k in range(12)] + [(words(12, 7) + " " + words(60, k) + " " + words(12, 7), "de", "b") for k in range(6)]
+    rows += [(None, "en", "a"), ("", "xx", "b"), rows[0]]
+    df = spark.createDataFrame([(k % 400, *x) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want = brute_kept(rows)
+    got = sorted((r.doc_id, r.kept) for r in quality.quality_rules(df).collect())
+    assert got == sorted((k % 400, x) for k, x in enumerate(want)) and 0 < want.count(False) < 60
+    kept = quality.keep_good(df.selectExpr("*", "'x' as _key", "1 as kept"))
+    assert sorted(map(str, (tuple(r)[:4] for r in kept.collect()))) == sorted(str((k % 400, *x)) for k, x in enumerate(rows) if want[k])
+
+
+def test_rows_with_one_id_are_judged_each(spark):
+    good, bad = words(60, 1), "# " * 60
+    df = spark.createDataFrame([(1, good), (1, bad), (None, words(60, 2)), (None, bad), (2, words(70, 3)), (2, words(70, 3))], "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    assert sorted(str(r.doc_id) for r in quality.keep_good(df).collect()) == ["1", "2", "2", "None"]
+    kept = simhash.keep_one(df)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", good), ("1", bad), ("2", words(70, 3)), ("None", words(60, 2))])
+    assert kept.columns == df.columns and simhash.keep_one(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
+
+
 # ---- 4 -------------------------------------------------------------------------------------
 
 
@@ -260,8 +331,9 @@ def test_simhash(docs, rows, empty):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_groups(docs).where("doc_id is not null").collect()}
     assert got == {(a, f"{x:016x}", comp[a]) for a, x in f}
     assert simhash.simhash_groups(empty).count() == 0
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert kept == {*comp.values(), None}
+    kept = simhash.keep_one(docs).collect()
+    of_null = comp.get(next((a for a, x in f if x == brute_fingerprint(rows[-4][1])), None))  # the row without an id
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(comp.values())) and len(kept) == len(set(comp.values())) + (of_null is None)
 
 
 @pytest.mark.parametrize("hot", [128, 2])
