@@ -44,10 +44,15 @@ def _key(tag: str, at: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
+def _is_hidden(at: dict[str, str]) -> bool:
+    return "hidden" in at or at.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")))
+
+
 def _is_chrome(tag: str, at: dict[str, str]) -> bool:
+    """Whether a block is no part of an article, by its class, id or role."""
     if not at:
         return False
-    if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")):
+    if _is_hidden(at):
         return True
     if tag in ("html", "body", "main", "article"):
         return False
@@ -105,7 +110,7 @@ class Page:
                     link = 0 if m[1] else 1
                 elif tag in RAW and not m[1]:
                     at = self._after_raw(html, tag, at)
-                elif tag not in VOID and not m[1] and m[3] and not m[3].endswith("/") and _is_chrome(tag, _attributes(m[3])):
+                elif tag not in VOID and not m[1] and m[3] and not m[3].endswith("/") and _is_hidden(_attributes(m[3])):
                     stack.append((tag, here, True, header))
                     restore()
                 elif m[1] and stack and stack[-1][0] == tag:
@@ -172,7 +177,31 @@ class Page:
 
     def best(self) -> int:
         scores = self.scores()
-        return max(range(len(scores)), key=lambda c: (scores[c], -c))
+        return self.widened(max(range(len(scores)), key=lambda c: (scores[c], -c)))
+
+    def widened(self, c: int) -> int:
+        """The highest container below body around c, as long as what each adds is mostly text outside links and no more than is there.
+
+        So sections of uneven length, a lead or a title beside the longest one are kept with it.
+        """
+        if re.search(r"/(?:article|main)[^/]*$", self.containers[c][1]):
+            return c
+        size, linked = [0] * len(self.containers), [0] * len(self.containers)
+        for k, s, n in self.blocks:
+            size[k] += len(s)
+            linked[k] += n
+        for k in range(len(size) - 1, 0, -1):
+            size[self.containers[k][0]] += size[k]
+            linked[self.containers[k][0]] += linked[k]
+        at, found = self.containers[c][0], c
+        while at > 0 and not re.search(r"/(?:body|html)[^/]*$", self.containers[at][1]):
+            more, links = size[at] - size[found], linked[at] - linked[found]
+            if more:
+                if 2 * links >= more or more > size[found]:
+                    break
+                found = at
+            at = self.containers[at][0]
+        return found
 
     def inside(self, roots: set[int]) -> str:
         """The blocks within these containers, a line each."""
