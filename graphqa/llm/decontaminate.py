@@ -148,8 +148,9 @@ def _document_counts(bench):
 def randomized_svd(rows: DataFrame, idf: np.ndarray, bench) -> np.ndarray:
     """Right singular vectors (DIMS, RANK) of the TF-IDF matrix whose rows are passages.
 
-    Each round multiplies A'A with a thin matrix: partitions of passages give partial products,
-    which are summed by term; only DIMS * (RANK + OVER) numbers, a fixed count, reach the driver.
+    Each round multiplies A'A with a thin matrix: partitions of passages give partial products, which
+    meet by dimension and are summed there; so a row for each dimension, DIMS * (RANK + OVER) numbers
+    at most, a fixed count, reaches the driver.
     """
     spark = rows.sparkSession
     width = RANK + OVER
@@ -174,9 +175,17 @@ def randomized_svd(rows: DataFrame, idf: np.ndarray, bench) -> np.ndarray:
                 part = keys[k : k + 512]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([sums[d].astype(np.float32).tobytes() for d in part], pa.binary())], names=["dim", "v"])
 
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for d, v in zip(b.column("dim").to_pylist(), b.column("v").to_pylist(), strict=True):
+                    sums[d] = sums.get(d, 0) + np.frombuffer(v, np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["dim", "v"])
+
         out = np.zeros((DIMS, width), np.float64)
-        for r in rows.mapInArrow(run, "dim long, v binary").toLocalIterator():
-            out[r["dim"]] += np.frombuffer(r["v"], np.float32)
+        parts = rows.mapInArrow(run, "dim long, v binary").repartition("dim").mapInArrow(summed, "dim long, v binary")
+        for r in parts.toLocalIterator():
+            out[r["dim"]] = np.frombuffer(r["v"], np.float32)
         sent.destroy()
         return out
 
