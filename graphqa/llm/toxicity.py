@@ -214,12 +214,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     counts = own.mapInArrow(_counted, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     lift = (F.col("p") / F.lit(max(1, pos))) / ((F.col("q") + 0.5) / F.lit(max(1, neg)))
     chosen = counts.where((F.col("p") >= MIN_TOXIC) & (lift >= MIN_LIFT)).orderBy(F.desc(F.col("p") * F.log(lift)), "term").limit(MAX_TERMS).collect()
-    terms = [(r["term"], r["p"] + r["q"]) for r in chosen]
-    kept = _with_terms(own, {t for t, _ in terms})
+    names = {r["term"] for r in chosen}
+    everywhere = {r["term"]: r["n"] for r in d.mapInArrow(_frequencies(names), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # MAX_TERMS + 1 rows at most
+    terms = [(r["term"], everywhere.get(r["term"], 0)) for r in chosen]
+    kept = _with_terms(own, names)
     found = [(r["doc_id"], r["toxic"], r["text"]) for r in kept.collect()]
     by = Counter(x[1] for x in found)
     base = (pos - by.get(1, 0) + 0.5) / (pos + neg - len(found) + 50)
-    return build_index(terms, pos + neg, sorted(found), base)
+    return build_index(terms, everywhere.get("", 0), sorted(found), base)
+
+
+def _frequencies(terms: set[str]):
+    """In how many documents each of the terms stands, and under the empty term the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            n[""] += b.num_rows
+            for text in b.column("text").to_pylist():
+                words = set(WORD.findall(text.lower())) if text else ()
+                n.update(({w for w in words if w in terms}) | {p for w in words for k in PREFIXES if len(w) > k and (p := w[:k] + "*") in terms})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    return run
 
 
 def _with_terms(own: DataFrame, terms: set[str]) -> DataFrame:
@@ -244,7 +261,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Examples are labelled rows whose crc32(doc_id) mod 3 is not 1; at most MAX_EXAMPLES of them and
     MAX_TERMS terms are learnt from. The score is the calibrated, closeness-weighted vote of the 15
     nearest examples by exact TF-IDF cosine; a text without any term, an empty or a null one, gets the
-    share of toxic rows among examples without terms. Null labels and labels of unknown documents
+    share of toxic rows among examples without terms. Terms are weighted by their frequency in all of docs; an example
+    without a term has the zero vector, so it is nobody's neighbour and isn't kept. Null labels and labels of unknown documents
     are not used; a repeated label counts once (the largest); a null doc_id is not held out;
     repeated rows score alike; without labels every score is the prior; an empty table gives no
     rows; other columns are not read. evidence: doc_ids of the nearest toxic examples.
