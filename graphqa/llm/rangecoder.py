@@ -4,9 +4,11 @@ Each id is one of four events: as the order-2 table predicts, as the order-1 tab
 id that the order-0 table holds in its slot, or new. Three adaptive models (by the tables'
 confidence, by agreement and the last event, by the last three events) give the event's
 probabilities; weights that learn from each event mix them, and a carryless range coder takes the
-mixture. Slots (10 bits) and new ids follow as plain arrays. All arithmetic is on whole numbers,
-so any machine decodes what another encoded. A block starts from fresh tables, and so can be
-decoded alone.
+mixture. Which slot, or which new id, follows in the same coder as digits under adaptive order-0
+frequencies: a slot as two digits of 5 bits, the second by the first; a new id as digits of 4, 6 and
+6 bits, the second by the first (ids beyond 16 bits have their upper half before). All arithmetic is
+on whole numbers, so any machine decodes what another encoded. A block starts from fresh tables, and
+so can be decoded alone.
 """
 
 from __future__ import annotations
@@ -16,15 +18,94 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"GQR1"
-HEAD = struct.Struct("<4sBIIII")  # magic, bytes of a new id, ids, coded words, slots, new ids
+MAGIC = b"GQR2"
+HEAD = struct.Struct("<4sBII")  # magic, bytes of a new id, ids, coded words
 BITS2, BITS1, BITS0 = 11, 10, 10
+#: Words kept free in a lane's output: 64 ids take 8 words each at most.
+ROOM = 1100
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16 = np.uint64(16)
 _48 = np.uint64(48)
 
 
+class _Digits:
+    """Adaptive frequencies of a digit, with a row for each lane and context."""
+
+    STEP, LIMIT = 24, 1 << 14
+
+    def __init__(self, lanes: int, contexts: int, size: int):
+        self.contexts, self.n = contexts, np.ones((lanes * contexts, size), np.int16)
+        self.total = np.full(lanes * contexts, size, np.int32)
+
+    def learn(self, rows: np.ndarray, digit: np.ndarray) -> None:
+        self.n[rows, digit] += self.STEP
+        total = self.total[rows] + self.STEP
+        self.total[rows] = total
+        if int(total.max()) > self.LIMIT:
+            full = rows[total > self.LIMIT]
+            self.n[full] = half = (self.n[full] + 1) >> 1
+            self.total[full] = half.sum(axis=1)
+
+
+class _Coder:
+    """Range coders of n lanes; with words as input it decodes."""
+
+    def __init__(self, n: int, words: np.ndarray, decode: bool):
+        self.low, self.rng, self.pos = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.int64)
+        self.words, self.code, self.lanes = words, None, np.arange(n)
+        self.slots = _Digits(n, 1, 32), _Digits(n, 32, 32)
+        self.new = [(_Digits(n, 1, 16), _Digits(n, 16, 64), _Digits(n, 1, 64)) for _ in range(2)]  # lower and upper half
+        if decode:
+            self.code = np.zeros(n, np.uint64)
+            for _ in range(4):
+                self.code = (self.code << _16) | words[np.arange(n), self.pos].astype(np.uint64)
+                self.pos += 1
+
+    def events(self, m: int, bounds: list[np.ndarray], ev: np.ndarray | None) -> np.ndarray:
+        if ev is None:
+            v, r = self.code[:m] - self.low[:m], self.rng[:m] >> _16
+            ev = sum((v >= r * b.astype(np.uint64)).astype(np.int64) for b in bounds)
+        _narrow(self.low[:m], self.rng[:m], bounds, ev)
+        _shift(self.low[:m], self.rng[:m], self.lanes[:m], self.words, self.pos, self.code)
+        return ev
+
+    def digits(self, at: np.ndarray, plan: list[tuple[_Digits, int, int, bool]], given: np.ndarray | None) -> np.ndarray:
+        """A number of each of the lanes `at`, as digits (table, bits below it, mask, by the digit before), coded or (None) decoded."""
+        low, rng, k, last, out = self.low[at], self.rng[at], np.arange(len(at)), 0, np.zeros(len(at), np.int64)
+        for table, shift, mask, by_last in plan:
+            rows = at * table.contexts + (last if by_last else 0)
+            ends = table.n[rows].cumsum(axis=1, dtype=np.int16)
+            r = rng // table.total[rows].astype(np.uint64)
+            if given is None:
+                v = np.minimum((self.code[at] - low) // r, np.uint64(table.LIMIT + table.STEP)).astype(np.int16)
+                last = np.minimum((v[:, None] >= ends).sum(axis=1), mask)
+            else:
+                last = given >> shift & mask
+            own = table.n[rows, last]
+            low += r * (ends[k, last] - own).astype(np.uint64)
+            rng = r * own.astype(np.uint64)
+            table.learn(rows, last)
+            _shift(low, rng, at, self.words, self.pos, self.code)
+            out |= last << shift
+        self.low[at], self.rng[at] = low, rng
+        return out
+
+    def slot(self, at: np.ndarray, slot: np.ndarray | None) -> np.ndarray:
+        return self.digits(at, [(self.slots[0], 5, 31, False), (self.slots[1], 0, 31, True)], slot)
+
+    def fresh(self, at: np.ndarray, ids: np.ndarray | None, wide: np.ndarray) -> np.ndarray:
+        """New ids; wide: which lanes have ids beyond 16 bits."""
+        out = np.zeros(len(at), np.int64)
+        for half in (1, 0):
+            which = np.nonzero(wide[at])[0] if half else np.arange(len(at))
+            if len(which):
+                top, middle, last = self.new[half]
+                part = None if ids is None else ids[which] >> 16 * half & 65535
+                out[which] |= self.digits(at[which], [(top, 12, 15, False), (middle, 6, 63, True), (last, 0, 63, False)], part) << 16 * half
+        return out
+
+
 class _Model:
     """Predictions for up to n lanes; lanes beyond the active count m rest."""
 
@@ -106,28 +187,30 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((longest, n), np.uint32)
     for lane, i in enumerate(order):
         ids[: sizes[lane], lane] = blocks[i]
-    events = np.zeros((longest, n), np.uint8)
-    out, pos = np.zeros((n, longest + 8), np.uint16), np.zeros(n, np.int64)
-    model, low, rng = _Model(n), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    wide = (ids > 65535).any(axis=0)
+    model, coder = _Model(n), _Coder(n, np.zeros((n, longest + ROOM), np.uint16), False)
     for k, m in enumerate(_active(sizes)):
         m = int(m)
-        bounds = model.predict(m)
-        ev = model.event(ids[k, :m])
-        _narrow(low[:m], rng[:m], bounds, ev)
-        _shift(low, rng, m, out, pos)
-        events[k, :m] = ev
-        model.learn(m, ids[k, :m], ev)
+        if k % 64 == 0 and int(coder.pos.max()) + ROOM // 2 > coder.words.shape[1]:
+            coder.words = np.concatenate([coder.words, np.zeros((n, longest + ROOM), np.uint16)], axis=1)
+        bounds, now = model.predict(m), ids[k, :m]
+        ev = coder.events(m, bounds, model.event(now))
+        at = np.nonzero(ev == 2)[0]
+        if len(at):
+            coder.slot(at, model.slot(now[at]).astype(np.int64))
+        at = np.nonzero(ev == 3)[0]
+        if len(at):
+            coder.fresh(at, now[at].astype(np.int64), wide)
+        model.learn(m, now, ev)
+    out = coder.words
     for _ in range(4):
-        out[np.arange(n), pos] = (low >> _48).astype(np.uint16)
-        low <<= _16
-        pos += 1
+        out[np.arange(n), coder.pos] = (coder.low >> _48).astype(np.uint16)
+        coder.low <<= _16
+        coder.pos += 1
     done: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
-        e, t = events[: sizes[lane], lane], ids[: sizes[lane], lane]
-        slots, new = model.slot(t[e == 2]).astype(np.int64), t[e == 3]
-        wide = 4 if len(new) and int(new.max()) > 65535 else 2
-        packed = np.packbits((slots[:, None] >> np.arange(BITS0 - 1, -1, -1)) & 1)
-        body = HEAD.pack(MAGIC, wide, len(t), int(pos[lane]), len(slots), len(new)) + out[lane, : pos[lane]].astype("<u2").tobytes() + packed.astype(np.uint8).tobytes() + new.astype(f"<u{wide}").tobytes()
+        size = int(coder.pos[lane])
+        body = HEAD.pack(MAGIC, 4 if wide[lane] else 2, int(sizes[lane]), size) + out[lane, :size].astype("<u2").tobytes()
         done[i] = body + struct.pack("<I", zlib.crc32(body))
     return done
 
@@ -144,19 +227,18 @@ def _narrow(low: np.ndarray, rng: np.ndarray, bounds: list[np.ndarray], ev: np.n
     np.multiply(r, flat.take(at + len(ev)) - c, out=rng)
 
 
-def _shift(low: np.ndarray, rng: np.ndarray, m: int, out: np.ndarray | None, pos: np.ndarray, code: np.ndarray | None = None) -> None:
-    """Move settled words out of the coder (or, with code, further words of `out` into the decoder)."""
-    lo, rg = low[:m], rng[:m]
+def _shift(lo: np.ndarray, rg: np.ndarray, lanes: np.ndarray, words: np.ndarray, pos: np.ndarray, code: np.ndarray | None) -> None:
+    """Move settled words of these lanes' coders out (or, with code, further words into the decoders)."""
     same = (lo ^ (lo + rg)) < _TOP
     at = np.nonzero(same | (rg < _BOT))[0]
     while len(at):
-        a, g = lo[at], rg[at]
+        a, g, lane = lo[at], rg[at], lanes[at]
         g = np.where(same[at], g, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
         if code is None:
-            out[at, pos[at]] = (a >> _48).astype(np.uint16)
+            words[lane, pos[lane]] = (a >> _48).astype(np.uint16)
         else:
-            code[at] = (code[at] << _16) | out[at, pos[at]].astype(np.uint64)
-        pos[at] += 1
+            code[lane] = (code[lane] << _16) | words[lane, pos[lane]].astype(np.uint64)
+        pos[lane] += 1
         a, g = a << _16, g << _16
         lo[at], rg[at] = a, g
         again = (a ^ (a + g)) < _TOP
@@ -177,42 +259,21 @@ def decode(payloads: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([heads[i][2] for i in order])
     n, longest = len(payloads), int(sizes[0])
     words = np.zeros((n, max(h[3] for h in heads) + 8), np.uint16)
-    slots, slot_at, new, new_at = [], np.zeros(n, np.int64), [], np.zeros(n, np.int64)
-    n_slots = n_new = 0
+    wide = np.array([heads[i][1] == 4 for i in order])
     for lane, i in enumerate(order):
-        _, wide, _, nw, ns, nn = heads[i]
-        at = HEAD.size
-        words[lane, :nw] = np.frombuffer(payloads[i], "<u2", nw, at)
-        at += 2 * nw
-        packed = (ns * BITS0 + 7) // 8
-        bits = np.unpackbits(np.frombuffer(payloads[i], np.uint8, packed, at))[: ns * BITS0].reshape(ns, BITS0)
-        slots.append(bits @ (1 << np.arange(BITS0 - 1, -1, -1)))
-        new.append(np.frombuffer(payloads[i], f"<u{wide}", nn, at + packed).astype(np.uint32))
-        slot_at[lane], new_at[lane] = n_slots, n_new
-        n_slots, n_new = n_slots + ns, n_new + nn
-    all_slots, all_new = np.concatenate(slots).astype(np.int64), np.concatenate(new)
-    model, low, rng, code = _Model(n), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
-    pos = np.zeros(n, np.int64)
-    for _ in range(4):
-        code = (code << _16) | words[np.arange(n), pos].astype(np.uint64)
-        pos += 1
+        words[lane, : heads[i][3]] = np.frombuffer(payloads[i], "<u2", heads[i][3], HEAD.size)
+    model, coder = _Model(n), _Coder(n, words, True)
     ids = np.zeros((longest, n), np.uint32)
     for k, m in enumerate(_active(sizes)):
         m = int(m)
-        bounds = model.predict(m)
-        v, r = code[:m] - low[:m], rng[:m] >> _16
-        ev = sum((v >= r * b.astype(np.uint64)).astype(np.int64) for b in bounds)
-        _narrow(low[:m], rng[:m], bounds, ev)
-        _shift(low, rng, m, words, pos, code)
+        ev = coder.events(m, model.predict(m), None)
         t = np.where(ev == 0, model.e2, model.e1)
         at = np.nonzero(ev == 2)[0]
         if len(at):
-            t[at] = model.t0[(at << BITS0) + all_slots[slot_at[at]]]
-            slot_at[at] += 1
+            t[at] = model.t0[(at << BITS0) + coder.slot(at, None)]
         at = np.nonzero(ev == 3)[0]
         if len(at):
-            t[at] = all_new[new_at[at]]
-            new_at[at] += 1
+            t[at] = coder.fresh(at, None, wide)
         ids[k, :m] = t
         model.learn(m, t, ev)
     done: list[np.ndarray] = [None] * n  # type: ignore[list-item]

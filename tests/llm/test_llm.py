@@ -362,6 +362,10 @@ def test_range_coder():
     coded = rangecoder.encode(blocks)
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, rangecoder.decode(coded), strict=True))
     assert (rangecoder.decode([coded[3]])[0] == blocks[3]).all() and len(coded[5]) < 120
+    zipf = (r.zipf(1.3, 200_000) % 30_000).astype(np.uint32)
+    pieces = [zipf[k : k + 2048] for k in range(0, len(zipf), 2048)]
+    bits = 8 * sum(map(len, rangecoder.encode(pieces))) / len(zipf)
+    assert bits < 8.6, bits  # of 15 for plain ids; 10 bits of a slot alone would be more
     with pytest.raises(ValueError):
         rangecoder.decode([coded[2][:40] + b"?" + coded[2][41:]])
 
@@ -489,6 +493,18 @@ def test_main_text(spark, empty):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_of_uneven_sections():
+    page = htmltext.Page
+    lead, body = "lead words " * 20, "body words " * 200
+    html = f"<body><div class=top><a href=x>Home page link</a></div><div class='wrap'><h2>Title</h2><div class='lead'>{lead}</div><div><div class='story'><p>{body}<span class=notice>marked</span> end</p></div></div></div><div class=links><a href=y>more and more links</a></div></body>"
+    p = page(html)
+    assert p.inside({p.best()}) == f"Title\n{lead.strip()}\n{body}marked end"
+    p = page(f"<body><div id=a><div class=story><p>{body}</div><div class=teasers><a href=z>{lead}</a></div></div></body>")
+    assert p.inside({p.best()}) == body.strip()
+    p = page(f"<article><p>{body}<i style='display: none'>no</i></p></article><p>{lead}</p>" + "<div>" * 3000 + "deep")
+    assert p.inside({p.best()}) == body.strip()
+
+
 # ---- 10 ------------------------------------------------------------------------------------
 
 
