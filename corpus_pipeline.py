@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "start", "n_tokens", F.col("ids_crc32"))
 
 
-#: Tokenizing has no SQL; tests hold run() against a brute-force version.
+#: Tokenizing has no SQL; tests hold run() against a brute-force version that calls no operator.
 ORACLE_SQL = None
