@@ -420,6 +420,19 @@ def regroup_complete(spark, sf_dir):
     return _counted(ops.regroup_complete(ops.join_facts(s, split), {"c": ["Buyer"]}))
 
 
+@registered(ORACLE_SQL["regroup_complete"])
+def stream_complete_early(spark, sf_dir):
+    """The complete solutions again, each emitted from a stream of facts as soon as it is complete."""
+    s, v = _facts_and_validation(spark, sf_dir)
+    building = ask(spark, sf_dir, BUILDING).select(F.col("c").alias("instance"))
+    split = v.join(building, "instance", "left_semi").unionAll(v.join(building, "instance", "left_anti").withColumn("shape", F.lit("Other")))
+    path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    ops.join_facts(s, split).select("id", F.lit(2).alias("n_vars"), "var", "instance", "validation.*").write.parquet(f"{path}/in")
+    early = regroup.complete_early(regroup.read_facts(spark, f"{path}/in"), {"c": ["Buyer"]})
+    got = regroup.drain(early, path).groupBy("id").agg(F.max(F.when(F.col("var") == "o", F.col("instance"))).alias("o"), F.count("*").cast("int").alias("n_facts"), F.count("shape").cast("int").alias("n_validated"))
+    return got.select(key_of("o").alias("o"), "n_facts", "n_validated")
+
+
 @registered(f"SELECT DISTINCT CASE WHEN valid THEN 'validTargets' ELSE 'invalidTargets' END AS bucket, o_custkey AS k, 'Buyer' AS reason FROM {URGENT}")
 def target_buckets(spark, sf_dir):
     return ops.test_output(ops.join_facts(*_facts_and_validation(spark, sf_dir)), {"c": ["Buyer"]}).select("bucket", key_of("instance").alias("k"), "reason")

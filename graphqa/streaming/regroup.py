@@ -12,21 +12,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FACT = "id string, n_vars int, var string, instance string, shape string, valid boolean, reason string"
 DONE = "id string, var string, instance string, shape string, valid boolean, reason string"
 
-
 def read_facts(spark: SparkSession, path: str, schema: str = FACT) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def complete_early(facts: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
+def complete_early(facts: DataFrame, targets: dict[str, list[str]], keep_ms: int | None = None) -> DataFrame:
     """Emits a solution's facts once each of its n_vars variables has an acceptable one.
 
     State per solution: the facts so far, and whether it was emitted; later facts of an emitted
-    solution are dropped.
+    solution are dropped. With keep_ms, for streams that go on, a state goes when no fact came for so
+    long, and a solution that is not complete by then is not emitted; a stream that is drained once
+    needs none.
     """
     wanted = {k.lower(): set(v) for k, v in targets.items()}
     names = [x.split()[0] for x in DONE.split(", ")]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done, held = state.get if state.exists else (False, [])
         held = [tuple(x) for x in held]
         for p in pdfs:
@@ -44,9 +48,11 @@ def complete_early(facts: DataFrame, targets: dict[str, list[str]]) -> DataFrame
                     held = []
                     break
         state.update((done, held))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
 
     kept = "done boolean, held array<struct<var:string,instance:string,shape:string,valid:boolean,reason:string,ok:boolean>>"
-    return facts.groupBy("id").applyInPandasWithState(step, DONE, kept, "append", GroupStateTimeout.NoTimeout)
+    return facts.groupBy("id").applyInPandasWithState(step, DONE, kept, "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def annotate_stream(stream: DataFrame, key: str, validation: DataFrame) -> DataFrame:
