@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,11 @@ class Benchmark:
         self.dim = places[np.arange(len(vocabulary)) % DIMS]  # unlike terms share a dimension only beyond DIMS terms
         self.ids = np.array([i for i, _, _ in split], np.int64)
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws, _ in split]
+        self.counts = [Counter(ws.tolist()) for ws in self.words]
         self.answers = [[self.number[w] for w in ans] for _, _, ans in split]
         # Passages of items: as long as those of documents.
         self.passages = [(k, ws[at : at + 2 * HALF]) for k, ws in enumerate(self.words) for at in range(0, max(1, len(ws) - HALF), HALF)]
+        self.owner = np.array([k for k, _ in self.passages], np.int64)
 
     def index(self, idf: np.ndarray) -> None:
         """Postings of each item's rarest words: no stretch that same() accepts has fewer than need[k] of them."""
@@ -107,10 +110,26 @@ class Benchmark:
                 found.append((int(item[k]), int(place[k])))
         return found
 
+    def groups(self, ids: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The places of an item together whose surroundings overlap."""
+        out: list[tuple[int, list[int]]] = []
+        for item, place in self.places(ids):
+            if out and out[-1][0] == item and place - out[-1][1][-1] <= 2 * self.wide[item]:
+                out[-1][1].append(place)
+            else:
+                out.append((item, [place]))
+        return out
+
+    def may_stand(self, item: int, text: list[int]) -> bool:
+        """Whether a stretch has as many of the item's words as same() asks for at least."""
+        counts, n = self.counts[item], len(self.words[item])
+        least = n if n < SHORT else PARAPHRASE_LCS * n
+        common = counts.keys() & set(text)
+        return len(common) >= least or sum(map(counts.__getitem__, common)) >= least
+
     def encode(self, text: str | None) -> np.ndarray:
         """The text's words as numbers of benchmark words, -1 for others."""
-        get = self.number.get
-        return np.array([get(w, -1) for w in words_of(text)], np.int64)
+        return np.fromiter(map(self.number.get, words_of(text), repeat(-1)), np.int64)
 
 
 def answer_of(text: str) -> list[str]:
@@ -214,8 +233,14 @@ def _search(shared):
     return run
 
 
-def find(bench: Benchmark, project: np.ndarray, latent: np.ndarray, ids: np.ndarray) -> list[tuple[int, float]]:
-    """(item_id, likeness) of the items that a document, given as word numbers, holds."""
+def directions(latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of latent vectors, and the vectors at length one."""
+    lengths = np.sqrt((latent * latent).sum(axis=1))
+    return lengths, latent / np.maximum(lengths, 1e-9)[:, None]
+
+
+def find(bench: Benchmark, project: np.ndarray, latent: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> list[tuple[int, float]]:
+    """(item_id, likeness) of the items that a document, given as word numbers, holds; latent: as of directions()."""
     if not len(ids) or not len(bench.ids):
         return []
     at = np.nonzero(ids >= 0)[0]
@@ -229,57 +254,56 @@ def find(bench: Benchmark, project: np.ndarray, latent: np.ndarray, ids: np.ndar
     z = sums[:-1] + sums[1:]
     norm = np.sqrt((z * z).sum(axis=1))
     z /= np.maximum(norm, 1e-9)[:, None]
-    lengths = np.sqrt((latent * latent).sum(axis=1))
-    unit = latent / np.maximum(lengths, 1e-9)[:, None]
+    lengths, unit = latent
     found: dict[int, float] = {}
     tried: set[tuple[int, int]] = set()
+    text = ids.tolist()
+    places = [(item, place) for item, near in bench.groups(ids) if bench.may_stand(item, text[max(0, near[0] - int(bench.wide[item])) : near[-1] + int(bench.wide[item])]) for place in near]
+    able = np.zeros(len(bench.ids), bool)  # items that same() may accept somewhere
+    able[[item for item, _ in places]] = True
     for k in range(0, len(z), 4096):
         cosine = z[k : k + 4096] @ unit.T
         window, passage = np.nonzero((cosine >= MIN_COSINE) & (cosine * norm[k : k + 4096, None] >= MIN_COVER * lengths))
-        for w, p in zip((window + k).tolist(), passage.tolist(), strict=True):
-            item, own = bench.passages[p]
-            if item in found:
-                continue
-            words = bench.words[item]
-            around = ids[max(0, w * HALF - len(words) - HALF) : (w + 2) * HALF + len(words) + HALF]
-            if (item, w) in tried:
+        owner = bench.owner[passage]
+        checked = able[owner]
+        for w, item in zip((window[checked] + k).tolist(), owner[checked].tolist(), strict=True):
+            if item in found or (item, w) in tried:
                 continue
             tried.add((item, w))
-            likeness = same(words, around, bench.answers[item])
+            size = len(bench.words[item])
+            likeness = same(bench, item, text[max(0, w * HALF - size - HALF) : (w + 2) * HALF + size + HALF])
             if likeness:
                 found[item] = likeness
-    for item, place in bench.places(ids):  # the exact way: what the latent space does not hold
+    for item, place in places:  # the exact way: what the latent space does not hold
         if item not in found:
             wide = int(bench.wide[item])
-            likeness = same(bench.words[item], ids[max(0, place - wide) : place + wide], bench.answers[item])
+            likeness = same(bench, item, text[max(0, place - wide) : place + wide])
             if likeness:
                 found[item] = likeness
     return sorted((int(bench.ids[i]), s) for i, s in found.items())
 
 
-def same(item: np.ndarray, around: np.ndarray, answer: list[int]) -> float:
+def same(bench: Benchmark, item: int, text: list[int]) -> float:
     """Part of the item's words that stand in order in a stretch of a document, 0 unless it holds the item.
 
     A leak: MIN_LCS of the words within a stretch hardly longer than the item; or a paraphrase with
     PARAPHRASE_LCS of them whose answer stands there word for word.
     """
-    n = len(item)
+    counts, n = bench.counts[item], len(bench.words[item])
+    if not bench.may_stand(item, text):
+        return 0.0
+    own, answer = bench.words[item].tolist(), bench.answers[item]
     if n < SHORT:
-        text, part = around.tolist(), item.tolist()
-        return 1.0 if any(text[k : k + n] == part for k in range(len(text) - n + 1)) else 0.0
-    have = Counter(around.tolist())
-    common = sum(min(c, have[w]) for w, c in Counter(item.tolist()).items())
-    if common < PARAPHRASE_LCS * n:
+        return 1.0 if any(text[k : k + n] == own for k in range(len(text) - n + 1)) else 0.0
+    have = Counter(text)
+    if sum(min(c, have[w]) for w, c in counts.items()) < PARAPHRASE_LCS * n:
         return 0.0
-    best, wide, own = 0, n + max(4, n // 4), item.tolist()
-    text = around.tolist()
-    member = set(own)
-    inside = np.cumsum(np.append(0, [x in member for x in text]))
+    best, wide = 0, n + max(4, n // 4)
+    inside = list(accumulate(map(counts.__contains__, text), initial=0))
     for k in range(0, max(1, len(text) - wide + 1), max(1, n // 8)):
         if inside[min(len(text), k + wide)] - inside[k] > best:
             best = max(best, lcs(own, text[k : k + wide]))
-    tail = text[-wide:]
-    best = max(best, lcs(own, tail))
+    best = max(best, lcs(own, text[-wide:]))
     share = best / n
     if share >= MIN_LCS:
         return share
@@ -334,5 +358,5 @@ def _judged(d: DataFrame, benchmark: DataFrame) -> DataFrame:
         vectors = randomized_svd(passages, idf, sent)
         project = (vectors[bench.dim] * idf[:, None]).astype(np.float32)
         latent = np.stack([project[p].sum(axis=0) for _, p in bench.passages])
-        out = out.mapInArrow(_search(sc.broadcast((bench, project, latent))), out.schema)
+        out = out.mapInArrow(_search(sc.broadcast((bench, project, directions(latent)))), out.schema)
     return out
