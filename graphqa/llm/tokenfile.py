@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ _CUTS = r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d
 
 
 class _Words(dict):
-    """Ids by word."""
+    """Ids by word, as bytes."""
 
     def __init__(self, tk):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -46,10 +46,10 @@ class _Words(dict):
         super().__init__()
         self.model, self.level = tk.model, ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self[word] = [t.id for t in self.model.tokenize(self.level.pre_tokenize_str(word)[0][0])]
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(self.level.pre_tokenize_str(word)[0][0])]).tobytes()
         return ids
 
 
@@ -76,7 +76,7 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.words is None or "<|" in text or _ODD.search(text):
             return np.array(self.tk.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, _WORD.findall(text.lower()))), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(text.lower()))), np.uint32)
 
 
 class _Packer:
