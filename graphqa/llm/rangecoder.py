@@ -4,9 +4,9 @@ Each id is one of four events: as the order-2 table predicts, as the order-1 tab
 id that the order-0 table holds in its slot, or new. Three adaptive models (by the tables'
 confidence, by agreement and the last event, by the last three events) give the event's
 probabilities; weights that learn from each event mix them, and a carryless range coder takes the
-mixture. Which slot, or which new id, follows in the same coder as digits under adaptive order-0
-frequencies: a slot as two digits of 5 bits, the second by the first; a new id as digits of 4, 6 and
-6 bits, the second by the first (ids beyond 16 bits have their upper half before). All arithmetic is
+mixture. Which slot, or which new id, follows in the same coder under adaptive order-0 frequencies
+that learn from each id and are put to use every RENEW ids: a slot whole, a new id byte by byte.
+All arithmetic is
 on whole numbers, so any machine decodes what another encoded. A block starts from fresh tables, and
 so can be decoded alone.
 """
@@ -18,9 +18,13 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"GQR2"
+MAGIC = b"GQR3"
 HEAD = struct.Struct("<4sBII")  # magic, bytes of a new id, ids, coded words
 BITS2, BITS1, BITS0 = 11, 10, 10
+#: Shares are made anew before ids 0, 1, 2, 4, 8, .. and each multiple of RENEW.
+RENEW = 128
+#: Ids of a block at most; counts have 16 bits.
+LONGEST = 65535
 #: Words kept free in a lane's output: 64 ids take 8 words each at most.
 ROOM = 1100
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -29,80 +33,102 @@ _16 = np.uint64(16)
 _48 = np.uint64(48)
 
 
-class _Digits:
-    """Adaptive frequencies of a digit, with a row for each lane and context."""
-
-    STEP, LIMIT = 24, 1 << 14
-
-    def __init__(self, lanes: int, contexts: int, size: int):
-        self.contexts, self.n = contexts, np.ones((lanes * contexts, size), np.int16)
-        self.total = np.full(lanes * contexts, size, np.int32)
-
-    def learn(self, rows: np.ndarray, digit: np.ndarray) -> None:
-        self.n[rows, digit] += self.STEP
-        total = self.total[rows] + self.STEP
-        self.total[rows] = total
-        if int(total.max()) > self.LIMIT:
-            full = rows[total > self.LIMIT]
-            self.n[full] = half = (self.n[full] + 1) >> 1
-            self.total[full] = half.sum(axis=1)
+class _Table:
+    """Adaptive order-0 frequencies of a symbol below size, a row for each lane.
+
+    What is coded with are cumulative shares of 1 << SHARE, made anew from the counts by renew(); a
+    share mixes the counts with equal ones, which weigh as much as PRIOR symbols.
+    """
+
+    SHARE, PRIOR = 14, 64
+
+    def __init__(self, lanes: int, size: int):
+        self.size, self.row = size, size + 1
+        self.n = np.zeros((lanes, size), np.uint16)
+        self.ends = np.zeros((lanes, self.row), np.uint16)
+        self.steps = np.arange(1, size, dtype=np.uint32)
+
+    def renew(self, m: int) -> None:
+        ends = self.n[:m].cumsum(axis=1, dtype=np.uint16)  # LONGEST at most
+        total = ends[:, -1].astype(np.uint32)
+        least = np.maximum((self.PRIOR << self.SHARE) // self.size // (total + self.PRIOR), 1).astype(np.uint32)
+        scale = (((1 << self.SHARE) - self.size * least) << 16) // np.maximum(total, 1)
+        ends = ends[:, :-1] * scale[:, None].astype(np.uint32)
+        ends >>= 16
+        ends += least[:, None] * self.steps
+        self.ends[:m, 1:-1] = ends
+        self.ends[:m, -1] = 1 << self.SHARE
+
+    def narrow(self, low: np.ndarray, rng: np.ndarray, at: np.ndarray, given: np.ndarray | None, code: np.ndarray | None) -> np.ndarray:
+        """Take a symbol of each of the lanes `at` (decoded where none is given) into low and rng, which are theirs alone."""
+        flat, base = self.ends.ravel(), at * self.row
+        r = rng >> np.uint64(self.SHARE)
+        if given is None:
+            v = np.minimum((code - low) // r, np.uint64((1 << self.SHARE) - 1)).astype(np.uint16)
+            given, half = np.zeros(len(at), np.int64), self.size >> 1
+            while half:
+                given += half * (flat.take(base + (given + half)) <= v)
+                half >>= 1
+        own = base + given
+        begin = flat.take(own).astype(np.uint64)
+        low += r * begin
+        np.multiply(r, flat.take(own + 1) - begin, out=rng)
+        return given
+
+    def learn(self, at: np.ndarray, symbols: np.ndarray) -> None:
+        self.n.ravel()[at * self.size + symbols] += np.uint16(1)
 
 
 class _Coder:
     """Range coders of n lanes; with words as input it decodes."""
 
-    def __init__(self, n: int, words: np.ndarray, decode: bool):
+    def __init__(self, n: int, words: np.ndarray, decode: bool, wide: np.ndarray):
         self.low, self.rng, self.pos = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.int64)
-        self.words, self.code, self.lanes = words, None, np.arange(n)
-        self.slots = _Digits(n, 1, 32), _Digits(n, 32, 32)
-        self.new = [(_Digits(n, 1, 16), _Digits(n, 16, 64), _Digits(n, 1, 64)) for _ in range(2)]  # lower and upper half
+        self.words, self.code, self.lanes, self.wide = words, None, np.arange(n), wide
+        self.slots = _Table(n, 1 << BITS0)
+        self.bytes = [_Table(n, 256) for _ in range(4 if wide.any() else 2)]  # of new ids, the lowest first
         if decode:
             self.code = np.zeros(n, np.uint64)
             for _ in range(4):
                 self.code = (self.code << _16) | words[np.arange(n), self.pos].astype(np.uint64)
                 self.pos += 1
 
-    def events(self, m: int, bounds: list[np.ndarray], ev: np.ndarray | None) -> np.ndarray:
+    def renew(self, k: int, m: int) -> None:
+        """Bring the shares up to date before the id at k."""
+        if k % RENEW == 0 or k & (k - 1) == 0:
+            for table in (self.slots, *self.bytes):
+                table.renew(m)
+
+    def event(self, m: int, bounds: list[np.ndarray], ev: np.ndarray | None) -> np.ndarray:
+        low, rng = self.low[:m], self.rng[:m]
         if ev is None:
-            v, r = self.code[:m] - self.low[:m], self.rng[:m] >> _16
+            v, r = self.code[:m] - low, rng >> _16
             ev = sum((v >= r * b.astype(np.uint64)).astype(np.int64) for b in bounds)
-        _narrow(self.low[:m], self.rng[:m], bounds, ev)
-        _shift(self.low[:m], self.rng[:m], self.lanes[:m], self.words, self.pos, self.code)
+        _narrow(low, rng, bounds, ev)
         return ev
 
-    def digits(self, at: np.ndarray, plan: list[tuple[_Digits, int, int, bool]], given: np.ndarray | None) -> np.ndarray:
-        """A number of each of the lanes `at`, as digits (table, bits below it, mask, by the digit before), coded or (None) decoded."""
-        low, rng, k, last, out = self.low[at], self.rng[at], np.arange(len(at)), 0, np.zeros(len(at), np.int64)
-        for table, shift, mask, by_last in plan:
-            rows = at * table.contexts + (last if by_last else 0)
-            ends = table.n[rows].cumsum(axis=1, dtype=np.int16)
-            r = rng // table.total[rows].astype(np.uint64)
-            if given is None:
-                v = np.minimum((self.code[at] - low) // r, np.uint64(table.LIMIT + table.STEP)).astype(np.int16)
-                last = np.minimum((v[:, None] >= ends).sum(axis=1), mask)
-            else:
-                last = given >> shift & mask
-            own = table.n[rows, last]
-            low += r * (ends[k, last] - own).astype(np.uint64)
-            rng = r * own.astype(np.uint64)
-            table.learn(rows, last)
-            _shift(low, rng, at, self.words, self.pos, self.code)
-            out |= last << shift
+    def slot(self, at: np.ndarray, slots: np.ndarray | None) -> np.ndarray:
+        low, rng = self.low[at], self.rng[at]
+        slots = self.slots.narrow(low, rng, at, slots, None if self.code is None else self.code[at])
         self.low[at], self.rng[at] = low, rng
-        return out
+        return slots
 
-    def slot(self, at: np.ndarray, slot: np.ndarray | None) -> np.ndarray:
-        return self.digits(at, [(self.slots[0], 5, 31, False), (self.slots[1], 0, 31, True)], slot)
+    def settle(self, m: int) -> None:
+        _shift(self.low[:m], self.rng[:m], self.lanes[:m], self.words, self.pos, self.code)
 
-    def fresh(self, at: np.ndarray, ids: np.ndarray | None, wide: np.ndarray) -> np.ndarray:
-        """New ids; wide: which lanes have ids beyond 16 bits."""
+    def fresh(self, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """New ids of the lanes `at`, byte by byte from the top."""
         out = np.zeros(len(at), np.int64)
-        for half in (1, 0):
-            which = np.nonzero(wide[at])[0] if half else np.arange(len(at))
+        for k in range(len(self.bytes) - 1, -1, -1):
+            which = np.nonzero(self.wide[at])[0] if k > 1 else np.arange(len(at))
             if len(which):
-                top, middle, last = self.new[half]
-                part = None if ids is None else ids[which] >> 16 * half & 65535
-                out[which] |= self.digits(at[which], [(top, 12, 15, False), (middle, 6, 63, True), (last, 0, 63, False)], part) << 16 * half
+                lanes = at[which]
+                low, rng = self.low[lanes], self.rng[lanes]
+                got = self.bytes[k].narrow(low, rng, lanes, None if ids is None else ids[which] >> 8 * k & 255, None if self.code is None else self.code[lanes])
+                _shift(low, rng, lanes, self.words, self.pos, self.code)
+                self.low[lanes], self.rng[lanes] = low, rng
+                self.bytes[k].learn(lanes, got)
+                out[which] |= got << 8 * k
         return out
 
 
@@ -184,23 +210,28 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order])
     n, longest = len(blocks), int(sizes[0])
+    if longest > LONGEST:
+        raise ValueError(f"a block has more than {LONGEST} ids")
     ids = np.zeros((longest, n), np.uint32)
     for lane, i in enumerate(order):
         ids[: sizes[lane], lane] = blocks[i]
     wide = (ids > 65535).any(axis=0)
-    model, coder = _Model(n), _Coder(n, np.zeros((n, longest + ROOM), np.uint16), False)
+    model, coder = _Model(n), _Coder(n, np.zeros((n, longest + ROOM), np.uint16), False, wide)
     for k, m in enumerate(_active(sizes)):
         m = int(m)
         if k % 64 == 0 and int(coder.pos.max()) + ROOM // 2 > coder.words.shape[1]:
             coder.words = np.concatenate([coder.words, np.zeros((n, longest + ROOM), np.uint16)], axis=1)
+        coder.renew(k, m)
         bounds, now = model.predict(m), ids[k, :m]
-        ev = coder.events(m, bounds, model.event(now))
-        at = np.nonzero(ev == 2)[0]
-        if len(at):
-            coder.slot(at, model.slot(now[at]).astype(np.int64))
-        at = np.nonzero(ev == 3)[0]
-        if len(at):
-            coder.fresh(at, now[at].astype(np.int64), wide)
+        ev = coder.event(m, bounds, model.event(now))
+        held, new = np.nonzero(ev == 2)[0], np.nonzero(ev == 3)[0]
+        slots = model.slot(now).astype(np.int64)
+        coder.slot(held, slots[held])
+        coder.settle(m)
+        if len(new):
+            coder.fresh(new, now[new].astype(np.int64))
+        known = np.nonzero(ev >= 2)[0]
+        coder.slots.learn(known, slots[known])
         model.learn(m, now, ev)
     out = coder.words
     for _ in range(4):
@@ -262,20 +293,22 @@ def decode(payloads: list[bytes]) -> list[np.ndarray]:
     wide = np.array([heads[i][1] == 4 for i in order])
     for lane, i in enumerate(order):
         words[lane, : heads[i][3]] = np.frombuffer(payloads[i], "<u2", heads[i][3], HEAD.size)
-    model, coder = _Model(n), _Coder(n, words, True)
+    model, coder = _Model(n), _Coder(n, words, True, wide)
     ids = np.zeros((longest, n), np.uint32)
     for k, m in enumerate(_active(sizes)):
         m = int(m)
-        ev = coder.events(m, model.predict(m), None)
-        t = np.where(ev == 0, model.e2, model.e1)
-        at = np.nonzero(ev == 2)[0]
-        if len(at):
-            t[at] = model.t0[(at << BITS0) + coder.slot(at, None)]
-        at = np.nonzero(ev == 3)[0]
-        if len(at):
-            t[at] = coder.fresh(at, None, wide)
-        ids[k, :m] = t
-        model.learn(m, t, ev)
+        coder.renew(k, m)
+        ev = coder.event(m, model.predict(m), None)
+        now = np.where(ev == 0, model.e2, model.e1)
+        held, new = np.nonzero(ev == 2)[0], np.nonzero(ev == 3)[0]
+        now[held] = model.t0[(held << BITS0) + coder.slot(held, None)]
+        coder.settle(m)
+        if len(new):
+            now[new] = coder.fresh(new, None)
+        ids[k, :m] = now
+        known = np.nonzero(ev >= 2)[0]
+        coder.slots.learn(known, model.slot(now[known]).astype(np.int64))
+        model.learn(m, now, ev)
     done: list[np.ndarray] = [None] * n  # type: ignore[list-item]
     for lane, i in enumerate(order):
         done[i] = ids[: sizes[lane], lane].copy()

@@ -21,7 +21,7 @@ END_ID = 2
 #: A block closes at BLOCK ids; a document that would take it beyond MAX_BLOCK starts or is cut into blocks of its own.
 BLOCK, MAX_BLOCK = 2048, 4096
 #: Blocks coded in lockstep: more cost memory (about 100 KB each), fewer cost time.
-LANES = 1536
+LANES = 768
 #: Words whose ids a worker remembers.
 CACHE = 300_000
 FILE = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_starts array<long>, doc_lens array<long>, payload binary"
