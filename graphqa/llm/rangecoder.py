@@ -9,6 +9,8 @@ that learn from each id and are put to use every RENEW ids: a slot whole, a new
 All arithmetic is
 on whole numbers, so any machine decodes what another encoded. A block starts from fresh tables, and
 so can be decoded alone.
+
+This is the definition, for any reader without Spark; queries code with RangeCoder.java, to the same bytes.
 """
 
 from __future__ import annotations

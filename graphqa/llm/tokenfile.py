@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import zipfile
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rangecoder
 from .common import small_batches
 
 END_ID = 2
 #: A block closes at BLOCK ids; a document that would take it beyond MAX_BLOCK starts or is cut into blocks of its own.
 BLOCK, MAX_BLOCK = 2048, 4096
-#: Blocks coded in lockstep: more cost memory (about 100 KB each), fewer cost time.
-LANES = 768
+#: Blocks handed on at once.
+BATCH = 64
 #: Words whose ids a worker remembers.
 CACHE = 300_000
 FILE = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_starts array<long>, doc_lens array<long>, payload binary"
@@ -79,8 +81,35 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(text.lower()))), np.uint32)
 
 
+_coders: dict[str, tuple] = {}
+
+
+def register_coder(spark: SparkSession) -> None:
+    """Have the session's functions graphqa_encode (ids as bytes to a block) and graphqa_decode.
+
+    RangeCoder.java is rangecoder.py on the JVM, to the same bytes. Janino, with which Spark compiles its plans, compiles
+    it on the driver, once for an application, and executors get it as a jar; no other compiler is needed.
+    """
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    if sc.applicationId not in _coders:
+        made = jvm.org.codehaus.janino.SimpleCompiler()
+        made.cook(Path(__file__).with_name("RangeCoder.java").read_text())
+        jar, classes = Path(tempfile.mkdtemp(prefix="graphqa-ship-"), "graphqa-rangecoder.jar"), made.getBytecodes()
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in classes:
+                z.writestr(name.replace(".", "/") + ".class", bytes(classes[name]))
+        _coders[sc.applicationId] = jar, made.getClassLoader()
+    jar, loader = _coders[sc.applicationId]
+    spark.sql(f"ADD JAR '{jar}'")
+    for name, of in (("graphqa_encode", "RangeCoder"), ("graphqa_decode", "RangeCoder$Decoder")):
+        nothing = [sc._gateway.new_array(t, 0) for t in (jvm.Class, jvm.Object)]
+        coder = loader.loadClass(of).getDeclaredConstructor(nothing[0]).newInstance(nothing[1])
+        spark._jsparkSession.udf().register(name, coder, jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+
+
 class _Packer:
-    """Documents in order to blocks."""
+    """Documents in order to blocks, their ids as bytes."""
 
     def __init__(self, part: int):
         self.part, self.block, self.total = part, 0, 0
@@ -91,7 +120,7 @@ class _Packer:
 
     def close(self) -> Iterator[tuple]:
         if self.n:
-            yield (self.part, self.block, self.total - self.n, self.n, self.docs, self.starts, self.lens, np.concatenate(self.ids))
+            yield (self.part, self.block, self.total - self.n, self.n, self.docs, self.starts, self.lens, np.concatenate(self.ids).astype("<u4").tobytes())
             self.block += 1
             self.clear()
 
@@ -117,18 +146,15 @@ def _writer(path: str, end_id: int):
         waiting: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            coded = rangecoder.encode([x[7] for x in waiting])
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            cols = [pa.array(list(c), t) for c, t in zip(list(zip(*waiting, strict=True))[:7], types, strict=True)] + [pa.array(coded, pa.binary())]
-            whole = pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FILE.split(", ")])
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            cols = [pa.array(list(c), t) for c, t in zip(zip(*waiting, strict=True), types, strict=True)]
             waiting.clear()
-            for k in range(0, whole.num_rows, 1024):
-                yield whole.slice(k, 1024)
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FILE.split(", ")])
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 waiting.extend(pack.add(doc_id, np.append(encoder(text), np.uint32(end_id))))
-                if len(waiting) >= LANES:
+                if len(waiting) >= BATCH:
                     yield from flush()
         waiting.extend(pack.close())
         if waiting:
@@ -146,45 +172,39 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     written. The files are committed by Spark's writer, so a lost executor's part is written anew.
     """
     small_batches(docs.sparkSession)
+    register_coder(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_writer(tokenizer, end_id), FILE).write.option("compression", "none").parquet(path)
+    blocks = d.mapInArrow(_writer(tokenizer, end_id), FILE).withColumn("payload", F.call_function("graphqa_encode", "payload"))
+    blocks.write.option("compression", "none").parquet(path)
 
 
 def _reader(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int64())] * with_ids
+        names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
+        for b in batches:
             rows: list[tuple] = []
-            for x, ids in zip(held, rangecoder.decode([x["payload"] for x in held]), strict=True):
-                if len(ids) != x["n_ids"]:
+            for x in b.to_pylist():
+                ids, at = memoryview(x["payload"]), 0
+                if len(ids) != 4 * x["n_ids"]:
                     raise ValueError("a block's length is wrong")
-                at = 0
                 for doc, start, n in zip(x["doc_ids"], x["doc_starts"], x["doc_lens"], strict=True):
-                    piece = ids[at : at + n]
-                    rows.append((x["part"], start, x["ids_before"] + at, doc, n, zlib.crc32(piece.astype("<u4").tobytes())) + ((piece,) if with_ids else ()))
+                    piece = ids[4 * at : 4 * (at + n)]
+                    rows.append((x["part"], start, x["ids_before"] + at, doc, n, zlib.crc32(piece)) + ((np.frombuffer(piece, "<u4"),) if with_ids else ()))
                     at += n
-            held.clear()
-            types = [pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int64())] * with_ids
-            names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
             for k in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[k : k + 4096], strict=True), types, strict=True)], names=names)
 
-        for b in batches:
-            held.extend(b.to_pylist())
-            if len(held) >= LANES:
-                yield from flush()
-        if held:
-            yield from flush()
-
     return run
 
 
 def read_pieces(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(part, doc_start, at, doc_id, n, crc[, ids]) of the pieces of documents in a file; checks each block's checksum."""
     small_batches(spark)
-    return spark.read.schema(FILE).parquet(path).mapInArrow(_reader(with_ids), PIECES + (", ids array<long>" if with_ids else ""))
+    register_coder(spark)
+    blocks = spark.read.schema(FILE).parquet(path).withColumn("payload", F.call_function("graphqa_decode", "payload"))
+    return blocks.mapInArrow(_reader(with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def _times(a: int, b: int) -> int:

@@ -370,6 +370,22 @@ def test_range_coder():
         rangecoder.decode([coded[2][:40] + b"?" + coded[2][41:]])
 
 
+def test_coder_on_the_jvm_gives_the_same_bytes(spark):
+    tokenfile.register_coder(spark)
+    r = np.random.default_rng(5)
+    blocks = [(r.zipf(1.2, n) % 49_000).astype(np.uint32) for n in (0, 1, 3, 129, 4096, 700)]
+    blocks += [r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (2, 900)] + [np.zeros(3000, np.uint32), np.tile(np.arange(300, dtype=np.uint32), 9)]
+    df = spark.createDataFrame([(k, bytearray(b.astype("<u4").tobytes())) for k, b in enumerate(blocks)], "k int, ids binary").union(spark.createDataFrame([(99, None)], "k int, ids binary"))
+    got = df.selectExpr("k", "graphqa_encode(ids) as coded", "graphqa_decode(graphqa_encode(ids)) as ids").orderBy("k").collect()
+    assert [bytes(x.coded) for x in got[:-1]] == rangecoder.encode(blocks) and got[-1].coded is None
+    assert [bytes(x.ids) for x in got[:-1]] == [b.astype("<u4").tobytes() for b in blocks]
+    torn = bytearray(got[4].coded)
+    torn[40] ^= 1
+    for bad in (torn, got[4].coded[:-2], bytearray(b"GQR3")):
+        with pytest.raises(Exception, match="damaged block"):
+            spark.createDataFrame([(bad,)], "coded binary").selectExpr("graphqa_decode(coded)").collect()
+
+
 def test_token_file(spark, docs, rows, empty, tmp_path, monkeypatch):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(tokenfile, "MAX_BLOCK", 4096)
