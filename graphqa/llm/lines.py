@@ -13,13 +13,13 @@ from .common import checkpoint, connected_components, drop_written
 
 #: Lines link at this Jaccard similarity of their sets of GRAM-character strings.
 SIMILARITY, GRAM = 0.8, 5
+#: Sets of sizes x and y are alike if UNDER times their common strings reach OVER times x + y.
+OVER, UNDER = Fraction(str(SIMILARITY)).numerator, Fraction(str(SIMILARITY)).numerator + Fraction(str(SIMILARITY)).denominator
 #: A signature has BANDS keys, each of ROWS minima: a pair of similarity 0.8 shares one with chance 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998.
 BANDS, ROWS = 12, 4
 #: Longs that hold 4 bits of each minimum, and how many of these must agree before texts are compared. Of a pair of
 #: similarity 0.8 some 39 of 48 do (about one in 2,000 has under AGREE), of one of 0.1 some 8.
 SKETCH, AGREE = BANDS * ROWS // 16, 28
-#: About so many lines of a bucket, all of a small one, are compared with all others first.
-LEADERS = 12
 #: Masks that turn a hash of a string into BANDS * ROWS orders.
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
 _MASKS = [random.getrandbits(63) for random in [Random(8)] for _ in range(BANDS * ROWS)]
@@ -65,21 +65,21 @@ def signatures(lines: DataFrame) -> DataFrame:
     return each.groupBy("line_id").agg(*least).select(F.xxhash64("line_id").alias("alias"), F.array(*keys).alias("keys"), *sketch)
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(key, alias, leader, leads, s0..): the lines of keys that several lines have.
+def buckets(signed: DataFrame) -> DataFrame:
+    """(key, alias, n, leader, s0..): the lines of keys that n > 1 lines have.
 
-    The leader is the least of them; leads marks it and some others, chosen by a hash.
-    Keys are counted with a partial sum per task, and only then do the lines of shared keys meet
-    their leader, in a join that Spark can split: a hot key is never in one task's hands.
+    The leader is the line that shares most places in buckets with others, so the middle of a group of
+    near copies leads in nearly all of the group's buckets. Keys are counted with a partial sum per
+    task, and only then do the lines of shared keys meet their leader, in a join that Spark can
+    split: a hot key is never in one task's hands.
     """
-    signed = checkpoint(signatures(lines))
     keyed = signed.select("alias", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("alias").alias("leader")).where("n > 1")
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(7), "alias"), 11) / F.lit(float(1 << 53))
-    leads = (F.col("alias") == F.col("leader")) | (chance * F.col("n") < LEADERS)
-    shared = checkpoint(keyed.join(sizes, "key").join(signed.drop("keys"), "alias").select("key", "alias", "leader", leads.alias("leads"), *_SKETCH))
-    drop_written(signed)
-    return shared
+    shared = checkpoint(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    ranked = shared.join(shared.groupBy("alias").agg(F.sum("n").alias("met")), "alias")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "alias")).alias("first")).select("key", F.col("first.alias").alias("leader"))
+    led = checkpoint(shared.join(leaders, "key").join(signed.drop("keys"), "alias").select("key", "alias", "n", "leader", *_SKETCH))
+    drop_written(shared)
+    return led
 
 
 def _may_be_alike(a: str, b: str) -> Column:
@@ -90,25 +90,50 @@ def _may_be_alike(a: str, b: str) -> Column:
     return reduce(Column.__add__, map(F.bit_count, marks)) <= BANDS * ROWS - AGREE
 
 
+def _may_reach() -> Column:
+    """Whether a and b can be alike, by the strings that each has in common with the leader of their bucket.
+
+    What one lacks of the leader's strings can't be common, nor can more be common beyond the
+    leader's than either has beyond them. A line that wasn't compared with the leader passes.
+    """
+    lacks = F.greatest(*[F.col(f"{x}.top_size") - F.col(f"{x}.common") for x in "ab"])
+    beyond = F.least(*[F.col(f"{x}.size") - F.col(f"{x}.common") for x in "ab"])
+    most = F.least("a.size", "b.size", F.col("a.top_size") - lacks + beyond)
+    unknown = F.col("a.common").isNull() | F.col("b.common").isNull()
+    return F.when(unknown, F.lit(True)).otherwise(most * UNDER >= (F.col("a.size") + F.col("b.size")) * OVER)
+
+
+def _meet_first() -> Column:
+    """Whether a and b share none of the keys before this one."""
+    before = F.array_position("a.keys", F.col("a.key")).cast("int") - 1
+    return ~F.arrays_overlap(F.slice("a.keys", F.lit(1), before), F.slice("b.keys", F.lit(1), before))
+
+
 def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(alias, line_id, line) of the lines in pairs."""
     ends = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("alias")).distinct())  # written, so that its size is known to the join
     own = lines.withColumn("alias", F.xxhash64("line_id")).join(ends, "alias", "left_semi")
-    return checkpoint(own.groupBy("line_id", "alias").agg(F.first("line").alias("line")))
+    texts = checkpoint(own.groupBy("line_id", "alias").agg(F.first("line").alias("line")))
+    drop_written(ends)
+    return texts
+
 
+def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b, a_id, b_id, common, a_size, b_size, alike) of pairs (a, b) of aliases, from the texts.
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) as line_ids: the pairs (a, b) of aliases whose exact Jaccard similarity reaches SIMILARITY."""
+    The sizes are those of the sets of strings and of what they have in common; alike: their Jaccard
+    similarity reaches SIMILARITY.
+    """
     pairs = checkpoint(pairs.distinct())
     own = _texts(pairs, lines)
     ends = [own.select(F.col("alias").alias(x), F.col("line_id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line")) for x in "ab"]
     j = pairs.join(ends[0], "a").join(ends[1], "b").where("a_id <> b_id")
     sets = F.array(F.struct(_grams(F.col("a_line")).alias("x"), _grams(F.col("b_line")).alias("y")))  # bound once, used thrice
-    part = Fraction(str(SIMILARITY))
-    over, under = part.numerator, part.numerator + part.denominator
-    alike = F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * under >= (F.size(s["x"]) + F.size(s["y"])) * over)
-    found = checkpoint(j.where(alike).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), F.size(s["x"]).alias("a_size"), F.size(s["y"]).alias("b_size")))
+    found = j.select("a", "b", "a_id", "b_id", F.explode(sizes).alias("m")).select("a", "b", "a_id", "b_id", "m.*")
+    found = checkpoint(found.withColumn("alike", F.col("common") * UNDER >= (F.col("a_size") + F.col("b_size")) * OVER))
     drop_written(own)
+    drop_written(pairs)
     return found
 
 
@@ -116,21 +141,31 @@ def components(lines: DataFrame) -> DataFrame:
     """(line_id, root) of the lines (line_id, line) that are linked with another one.
 
     All links with the lines that lead buckets give components. Only lines outside their leader's
-    component are left: each is compared with those lines of its bucket that are in other components.
+    component are left: each is compared, once for all buckets they share, with those lines of its
+    bucket that are in other components, unless what both have in common with the leader rules a link out.
     So any two similar lines that share a bucket end in one component, without all pairs of a bucket.
     """
-    shared = buckets(lines)
-    led = shared.alias("a").join(shared.where("leads").alias("b"), F.col("a.key") == F.col("b.key"))
-    led = led.where("a.alias < b.alias or a.alias > b.alias and not a.leads").where(_may_be_alike("a", "b"))
-    links = verified(led.select(F.least("a.alias", "b.alias").alias("a"), F.greatest("a.alias", "b.alias").alias("b")), lines)
+    signed = checkpoint(signatures(lines))
+    shared = buckets(signed)
+    led = shared.where("alias <> leader").alias("a").join(shared.where("alias = leader").alias("b"), F.col("a.key") == F.col("b.key")).where(_may_be_alike("a", "b"))
+    seen = compared(led.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")), lines)
+    links = seen.where("alike").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     found = checkpoint(connected_components(links).select(F.col("id").alias("line_id"), F.col("component").alias("root")))
     known = found.select(F.xxhash64("line_id").alias("alias"), F.xxhash64("root").alias("root"))
-    rooted = checkpoint(shared.join(known, "alias", "left").withColumn("root", F.coalesce("root", "alias")))
+    rooted = shared.where("n > 2").join(known, "alias", "left").withColumn("root", F.coalesce("root", "alias"))
     main = rooted.where("alias = leader").select("key", F.col("root").alias("main"))
-    rooted = rooted.join(main, "key")
-    met = rooted.where("root <> main and not leads").alias("a").join(rooted.alias("b"), F.col("a.key") == F.col("b.key"))
-    met = met.where("a.root <> b.root and not b.leads and (b.root = b.main or a.alias < b.alias)").where(_may_be_alike("a", "b"))
-    more = verified(met.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")), lines)
+    rooted = checkpoint(rooted.where("alias <> leader").join(main, "key"))
+    drop_written(shared)
+    own = seen.select(F.col("a").alias("alias"), F.col("b").alias("leader"), "common", F.col("a_size").alias("size"), F.col("b_size").alias("top_size"))
+    rest = rooted.join(rooted.where("root <> main").select("key").distinct(), "key", "left_semi")
+    rest = checkpoint(rest.join(own, ["alias", "leader"], "left").join(signed.select("alias", "keys"), "alias"))
+    drop_written(rooted)
+    drop_written(signed)
+    met = rest.where("root <> main").alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key"))
+    met = met.where("a.root <> b.root and (b.root = b.main or a.alias < b.alias)").where(_may_be_alike("a", "b")).where(_may_reach()).where(_meet_first())
+    more = compared(met.select(F.least("a.alias", "b.alias").alias("a"), F.greatest("a.alias", "b.alias").alias("b")), lines)
+    drop_written(rest)
+    more = more.where("alike").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     if more.isEmpty():
         return found
     root = lambda x: F.coalesce(f"{x}_root", x)

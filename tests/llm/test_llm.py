@@ -463,6 +463,21 @@ def test_fuzzy_lines_of_crowded_buckets(spark):
     assert got == brute_removed(texts)
 
 
+def test_a_crowd_is_compared_with_its_middle(spark, monkeypatch):
+    """Near copies of one line, some of them so far from it that they link with few others: all links, with few pairs compared."""
+    r, middle = random.Random(21), words(60, 5).split()
+    texts = []
+    for k in range(300):
+        edits = r.sample(range(len(middle)), 1 + k % 3 if k % 12 else 14)
+        texts.append(" ".join(r.choice(WORDS) + str(k) if at in edits else x for at, x in enumerate(middle)))
+    counts, own = [], lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda pairs, of: counts.append(pairs.count()) or own(pairs, of))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.removed for x in lines.dedup_lines(df).collect() if x.removed}
+    assert got == brute_removed(texts) and 200 < len(got) < 299
+    assert sum(counts) < 6000, counts  # of 44,850 pairs
+
+
 def near_pairs(n, n_words, changes, seed, opening="", vocabulary=None):
     """Pairs of lines that differ by so many characters and reach the similarity."""
     r, out = random.Random(seed), []
