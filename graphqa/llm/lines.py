@@ -91,16 +91,17 @@ def _may_be_alike(a: str, b: str) -> Column:
 
 
 def _may_reach() -> Column:
-    """Whether a and b can be alike, by the strings that each has in common with the leader of their bucket.
+    """Whether a and b can be alike, by what each lacks of their common leader's strings and has beyond them.
 
-    What one lacks of the leader's strings can't be common, nor can more be common beyond the
-    leader's than either has beyond them. A line that wasn't compared with the leader passes.
+    Common are the leader's strings that neither lacks, and those beyond that both have: an equation,
+    but for strings of the same short hash, so the texts decide. The sizes alone come first.
     """
+    size = F.col("a.size") + F.col("b.size")
     lacks = F.greatest(*[F.col(f"{x}.top_size") - F.col(f"{x}.common") for x in "ab"])
     beyond = F.least(*[F.col(f"{x}.size") - F.col(f"{x}.common") for x in "ab"])
     most = F.least("a.size", "b.size", F.col("a.top_size") - lacks + beyond)
-    unknown = F.col("a.common").isNull() | F.col("b.common").isNull()
-    return F.when(unknown, F.lit(True)).otherwise(most * UNDER >= (F.col("a.size") + F.col("b.size")) * OVER)
+    common = lambda x: F.size(F.array_intersect(x, F.col("b.differ"))) + F.col("a.common") + F.col("b.common") - F.col("a.top_size")
+    return (most * UNDER >= size * OVER) & F.exists(F.array("a.differ"), lambda x: common(x) * UNDER >= size * OVER)  # within a lambda, so the join's own code stays small
 
 
 def _meet_first() -> Column:
@@ -118,18 +119,24 @@ def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return texts
 
 
-def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, a_id, b_id, common, a_size, b_size, alike) of pairs (a, b) of aliases, from the texts.
+def _short(strings: Column, mark: int) -> Column:
+    """Hashes of strings, cut to 30 bits beside a mark."""
+    return F.transform(strings, lambda h: h.bitwiseAND(F.lit((1 << 31) - 2).cast("long")).bitwiseOR(F.lit(mark).cast("long")).cast("int"))
+
+
+def compared(pairs: DataFrame, lines: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, a_id, b_id, common, a_size, b_size, alike[, differ]) of pairs (a, b) of aliases, from the texts.
 
     The sizes are those of the sets of strings and of what they have in common; alike: their Jaccard
-    similarity reaches SIMILARITY.
+    similarity reaches SIMILARITY. differ: the strings that only b has and those that only a has, as short hashes.
     """
     pairs = checkpoint(pairs.distinct())
     own = _texts(pairs, lines)
     ends = [own.select(F.col("alias").alias(x), F.col("line_id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line")) for x in "ab"]
     j = pairs.join(ends[0], "a").join(ends[1], "b").where("a_id <> b_id")
     sets = F.array(F.struct(_grams(F.col("a_line")).alias("x"), _grams(F.col("b_line")).alias("y")))  # bound once, used thrice
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), F.size(s["x"]).alias("a_size"), F.size(s["y"]).alias("b_size")))
+    more = (lambda s: [F.concat(_short(F.array_except(s["y"], s["x"]), 0), _short(F.array_except(s["x"], s["y"]), 1)).alias("differ")]) if differences else lambda s: []
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), F.size(s["x"]).alias("a_size"), F.size(s["y"]).alias("b_size"), *more(s)))
     found = j.select("a", "b", "a_id", "b_id", F.explode(sizes).alias("m")).select("a", "b", "a_id", "b_id", "m.*")
     found = checkpoint(found.withColumn("alike", F.col("common") * UNDER >= (F.col("a_size") + F.col("b_size")) * OVER))
     drop_written(own)
@@ -137,34 +144,55 @@ def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return found
 
 
+def _apart(shared: DataFrame, signed: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): pairs of aliases in different components that may be alike and share a bucket, or were compared with the same leader.
+
+    Lines that were compared with a leader meet once for that leader, and only if what they have in common with it
+    lets them link. A line whose signature was too far from the leader's has no such record; it meets the others in
+    each bucket that they share. One of a pair is always outside its leader's component.
+    """
+    rooted = shared.where("n > 2").join(known, "alias", "left").withColumn("root", F.coalesce("root", "alias"))
+    main = rooted.where("alias = leader").select("key", F.col("root").alias("main"))
+    rooted = rooted.where("alias <> leader").join(main, "key").join(seen.select(F.col("a").alias("alias"), F.col("b").alias("leader"), F.lit(True).alias("known")), ["alias", "leader"], "left")
+    rooted = checkpoint(rooted.withColumn("known", F.coalesce("known", F.lit(False))))
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.alias") < F.col("b.alias"))) & _may_be_alike("a", "b")
+    least, most = F.least("a.alias", "b.alias").alias("a"), F.greatest("a.alias", "b.alias").alias("b")
+
+    each = rooted.where("known").drop("key", "n", "known").dropDuplicates(["leader", "alias"])
+    each = each.join(each.where("root <> main").select("leader").distinct(), "leader", "left_semi")
+    record = seen.select(F.col("a").alias("alias"), F.col("b").alias("leader"), "common", F.col("a_size").alias("size"), F.col("b_size").alias("top_size"), "differ")
+    each = checkpoint(each.join(record, ["alias", "leader"]))
+    by_leader = each.where("root <> main").alias("a").join(each.alias("b"), F.col("a.leader") == F.col("b.leader")).where(apart).where(_may_reach())
+
+    keys = rooted.groupBy("key").agg(F.max(F.col("root") != F.col("main")).alias("out"), F.min("known").alias("all")).where("out and not all").select("key")
+    rest = checkpoint(rooted.join(keys, "key", "left_semi").join(signed.select("alias", "keys"), "alias"))
+    by_key = rest.where("root <> main").alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key")).where("not (a.known and b.known)").where(apart).where(_meet_first())
+
+    parts = [checkpoint(x.select(least, most)) for x in (by_leader, by_key)]
+    for x in (rooted, each, rest):
+        drop_written(x)
+    return parts[0].unionAll(parts[1])
+
+
 def components(lines: DataFrame) -> DataFrame:
     """(line_id, root) of the lines (line_id, line) that are linked with another one.
 
     All links with the lines that lead buckets give components. Only lines outside their leader's
-    component are left: each is compared, once for all buckets they share, with those lines of its
-    bucket that are in other components, unless what both have in common with the leader rules a link out.
+    component are left: each is compared with those lines of other components that share its leader or
+    a bucket, unless what both have in common with the leader rules a link out.
     So any two similar lines that share a bucket end in one component, without all pairs of a bucket.
     """
     signed = checkpoint(signatures(lines))
     shared = buckets(signed)
     led = shared.where("alias <> leader").alias("a").join(shared.where("alias = leader").alias("b"), F.col("a.key") == F.col("b.key")).where(_may_be_alike("a", "b"))
-    seen = compared(led.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")), lines)
+    seen = compared(led.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")), lines, differences=True)
     links = seen.where("alike").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     found = checkpoint(connected_components(links).select(F.col("id").alias("line_id"), F.col("component").alias("root")))
-    known = found.select(F.xxhash64("line_id").alias("alias"), F.xxhash64("root").alias("root"))
-    rooted = shared.where("n > 2").join(known, "alias", "left").withColumn("root", F.coalesce("root", "alias"))
-    main = rooted.where("alias = leader").select("key", F.col("root").alias("main"))
-    rooted = checkpoint(rooted.where("alias <> leader").join(main, "key"))
-    drop_written(shared)
-    own = seen.select(F.col("a").alias("alias"), F.col("b").alias("leader"), "common", F.col("a_size").alias("size"), F.col("b_size").alias("top_size"))
-    rest = rooted.join(rooted.where("root <> main").select("key").distinct(), "key", "left_semi")
-    rest = checkpoint(rest.join(own, ["alias", "leader"], "left").join(signed.select("alias", "keys"), "alias"))
-    drop_written(rooted)
-    drop_written(signed)
-    met = rest.where("root <> main").alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key"))
-    met = met.where("a.root <> b.root and (b.root = b.main or a.alias < b.alias)").where(_may_be_alike("a", "b")).where(_may_reach()).where(_meet_first())
-    more = compared(met.select(F.least("a.alias", "b.alias").alias("a"), F.greatest("a.alias", "b.alias").alias("b")), lines)
-    drop_written(rest)
+    pairs = _apart(shared, signed, seen, found.select(F.xxhash64("line_id").alias("alias"), F.xxhash64("root").alias("root")))
+    for x in (shared, signed, seen):
+        drop_written(x)
+    more = compared(pairs, lines)
+    drop_written(pairs)
     more = more.where("alike").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     if more.isEmpty():
         return found

@@ -478,6 +478,21 @@ def test_a_crowd_is_compared_with_its_middle(spark, monkeypatch):
     assert sum(counts) < 6000, counts  # of 44,850 pairs
 
 
+def test_far_near_copies_are_ruled_out_by_what_they_lack(spark, monkeypatch):
+    """Near copies with changes at places of their own, too many to link: hardly a text is compared, and all links are found."""
+    r, middle = random.Random(31), words(60, 8).split()
+    texts = []
+    for k in range(240):
+        edits = r.sample(range(len(middle)), 2 if k % 4 else 8)
+        texts.append(" ".join(r.choice(WORDS) if at in edits else x for at, x in enumerate(middle)))
+    counts, own = [], lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda pairs, of: counts.append(pairs.count()) or own(pairs, of))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.removed for x in lines.dedup_lines(df).collect() if x.removed}
+    assert got == brute_removed(texts)
+    assert len(counts) == 2 and counts[1] < 300, counts
+
+
 def near_pairs(n, n_words, changes, seed, opening="", vocabulary=None):
     """Pairs of lines that differ by so many characters and reach the similarity."""
     r, out = random.Random(seed), []
