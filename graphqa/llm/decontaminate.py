@@ -246,6 +246,10 @@ def find(bench: Benchmark, project: np.ndarray, latent: tuple[np.ndarray, np.nda
     at = np.nonzero(ids >= 0)[0]
     if not len(at):
         return []
+    text = ids.tolist()
+    places = [(item, place) for item, near in bench.groups(ids) if bench.may_stand(item, text[max(0, near[0] - int(bench.wide[item])) : near[-1] + int(bench.wide[item])]) for place in near]
+    if not places:  # same() accepts nothing anywhere
+        return []
     half = at // HALF
     n_half = -(-len(ids) // HALF)
     first = np.nonzero(np.append(True, half[1:] != half[:-1]))[0]
@@ -257,16 +261,14 @@ def find(bench: Benchmark, project: np.ndarray, latent: tuple[np.ndarray, np.nda
     lengths, unit = latent
     found: dict[int, float] = {}
     tried: set[tuple[int, int]] = set()
-    text = ids.tolist()
-    places = [(item, place) for item, near in bench.groups(ids) if bench.may_stand(item, text[max(0, near[0] - int(bench.wide[item])) : near[-1] + int(bench.wide[item])]) for place in near]
     able = np.zeros(len(bench.ids), bool)  # items that same() may accept somewhere
     able[[item for item, _ in places]] = True
+    of = np.nonzero(able[bench.owner])[0]  # their passages
+    lengths, unit, owners = lengths[of], unit[of], bench.owner[of]
     for k in range(0, len(z), 4096):
         cosine = z[k : k + 4096] @ unit.T
         window, passage = np.nonzero((cosine >= MIN_COSINE) & (cosine * norm[k : k + 4096, None] >= MIN_COVER * lengths))
-        owner = bench.owner[passage]
-        checked = able[owner]
-        for w, item in zip((window[checked] + k).tolist(), owner[checked].tolist(), strict=True):
+        for w, item in zip((window + k).tolist(), owners[passage].tolist(), strict=True):
             if item in found or (item, w) in tried:
                 continue
             tried.add((item, w))

@@ -111,6 +111,18 @@ def test_items_outside_the_latent_space_are_found(spark, monkeypatch):
     assert [k for k, _ in docs if k not in got[k]] == []
 
 
+def test_the_latent_space_is_asked_only_for_items_that_may_stand():
+    """A document in which no item can stand isn't projected; where one can, only that item's passages are."""
+    items = [(1, words(40, 3, [f"a{k}" for k in range(90)])), (2, words(30, 4, [f"b{k}" for k in range(90)]))]
+    bench = decontaminate.Benchmark(items)
+    bench.index(np.ones(len(bench.number)))
+    assert decontaminate.find(bench, None, None, bench.encode(" ".join(items[0][1].split()[:5]) + " other words " * 60)) == []
+    project = np.random.default_rng(1).standard_normal((len(bench.number), 8)).astype(np.float32)
+    latent = decontaminate.directions(np.stack([project[p].sum(axis=0) for _, p in bench.passages]))
+    latent[1][bench.owner == 1] = np.nan
+    assert decontaminate.find(bench, project, latent, bench.encode("some words before " * 30 + items[0][1] + " and after" * 30)) == [(1, 1.0)]
+
+
 def test_lcs():
     r = random.Random(1)
     for _ in range(50):
