@@ -32,7 +32,8 @@ PIECES = "part int, doc_start long, at long, doc_id long, n long, crc long"
 # Texts in these characters only are cut into words here; all others go through the library whole.
 _ODD = re.compile(r"[^\x20-\x7e\n¡¿À-ÖØ-öø-į]")
 # The tokenizer's own pattern for words, restricted to those characters in lower case.
-_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-į]+|[0-9]|[^\s0-9a-zß-öø-į]+")
+# Letters come first, as most words are; no other branch begins with one.
+_WORD = re.compile(r"[a-zß-öø-į]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zß-öø-į]+")
 # The normalizer and pre-tokenizer for which the above holds.
 _NORMAL = r"""Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])"""
 
@@ -51,7 +52,8 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self[word] = array("I", [t.id for t in self.model.tokenize(self.level.pre_tokenize_str(word)[0][0])]).tobytes()
+        level = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]  # printable ASCII stands for itself
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
         return ids
 
 

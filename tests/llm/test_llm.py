@@ -398,6 +398,18 @@ def test_coder_on_the_jvm_gives_the_same_bytes(spark):
             spark.createDataFrame([(bad,)], "coded binary").selectExpr("graphqa_decode(coded)").collect()
 
 
+def test_words_of_plain_letters_go_to_the_model_as_they_are():
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    encoder, r = tokenfile.Encoder(public.path("word_bpe_49k.json")), random.Random(2)
+    texts = ["".join(map(chr, range(0x21, 0x7F))), "don't they're 'tis x'd''s 12'3", "é'sñ übers«"] + ["".join(r.choice("abcdeft'rs.,!_~^ 019é\n") for _ in range(200)) for _ in range(100)]
+    for x in texts:
+        assert encoder(x).tolist() == encoder.tk.encode(x, add_special_tokens=False).ids
+    encoder.words.clear()
+    encoder.words.level = None
+    assert encoder("plain words, 2 of them").tolist() == encoder.tk.encode("plain words, 2 of them", add_special_tokens=False).ids
+
+
 def test_token_file(spark, docs, rows, empty, tmp_path, monkeypatch):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(tokenfile, "MAX_BLOCK", 4096)
