@@ -16,13 +16,14 @@ SIMILARITY, GRAM = 0.8, 5
 #: Sets of sizes x and y are alike if UNDER times their common strings reach OVER times x + y.
 OVER, UNDER = Fraction(str(SIMILARITY)).numerator, Fraction(str(SIMILARITY)).numerator + Fraction(str(SIMILARITY)).denominator
 #: A signature has BANDS keys, each of ROWS minima: a pair of similarity 0.8 shares one with chance 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998.
-BANDS, ROWS = 12, 4
-#: Longs that hold 4 bits of each minimum, and how many of these must agree before texts are compared. Of a pair of
-#: similarity 0.8 some 39 of 48 do (about one in 2,000 has under AGREE), of one of 0.1 some 8.
-SKETCH, AGREE = BANDS * ROWS // 16, 28
-#: Masks that turn a hash of a string into BANDS * ROWS orders.
+#: A row more costs nothing to sign and leaves fewer chance meetings.
+BANDS, ROWS = 16, 5
+#: Longs that hold 4 bits of each of 48 minima (those of 4 parts in 12 bands), and how many of these must agree before texts
+#: are compared. Of a pair of similarity 0.8 some 39 do (about one in 2,000 has under AGREE), of one of 0.1 some 8.
+SKETCH, AGREE = 3, 28
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
-_MASKS = [random.getrandbits(63) for random in [Random(8)] for _ in range(BANDS * ROWS)]
+#: Masks that turn a hash of a string, rotated by TURN bits more for each, into BANDS orders.
+_MASKS, TURN = [random.getrandbits(63) for random in [Random(8)] for _ in range(BANDS)], 4
 
 
 def normal(text: Column) -> Column:
@@ -47,22 +48,29 @@ def _grams(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(wide, lambda w: F.transform(_places(w), lambda i: _gram(w, i)))))
 
 
+def _turned(h: Column, by: int) -> Column:
+    """h rotated left by so many bits."""
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(alias, keys, s0..): the BANDS keys of each different line of lines (line_id, line), and 4 bits of each minimum.
 
-    Lines meet by line_id, copies within a task counted once before they are sent; the minima over
-    all of a line's strings are then taken where the line is, without a further shuffle. alias is a
-    64-bit hash of line_id.
+    A string's hash puts it in one of ROWS parts of its line, by its last bits; a band's minima are those of each part under
+    the band's order, so a string is hashed once and tried in BANDS orders only. The orders lead with different bits of the
+    hash, as few strings of a short line are near any mask. A part without strings gives nothing, which lines can also
+    have in common. Lines meet by alias, a 64-bit hash of line_id, copies within a task counted once before they are sent;
+    minima and keys are then taken where the line is, without a further shuffle.
     """
-    one = lines.groupBy("line_id").agg(F.first("line").alias("line")).select("line_id", F.encode("line", "UTF-32").alias("wide"))
-    each = one.select("line_id", "wide", F.explode(_places(F.col("wide"))).alias("i")).select("line_id", _gram(F.col("wide"), F.col("i")).alias("h"))
-    orders = [F.col("h") if k == 0 else F.xxhash64(F.lit(k), "h") for k in range(ROWS)]
-    each = each.select("line_id", *[o.alias(f"h{k}") for k, o in enumerate(orders)])
-    least = [F.min(F.col(f"h{k % ROWS}").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + k}" for k in range(ROWS)]) for b in range(BANDS)]
-    bits = [F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(15).cast("long")), 4 * (k % 16)) for k in range(BANDS * ROWS)]
-    sketch = [reduce(Column.bitwiseOR, bits[16 * k : 16 * k + 16]).alias(f"s{k}") for k in range(SKETCH)]
-    return each.groupBy("line_id").agg(*least).select(F.xxhash64("line_id").alias("alias"), F.array(*keys).alias("keys"), *sketch)
+    one = lines.groupBy(F.xxhash64("line_id").alias("alias")).agg(F.first("line").alias("line"))
+    wide = one.select("alias", F.encode("line", "UTF-32").alias("wide"))
+    each = wide.select("alias", "wide", F.explode(_places(F.col("wide"))).alias("i")).select("alias", _gram(F.col("wide"), F.col("i")).alias("h"))
+    each = each.select("alias", F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFF).cast("long")) * ROWS, 16).cast("int").alias("part"), "h")
+    least = each.groupBy("alias", "part").agg(*[F.min(_turned(F.col("h"), TURN * b).bitwiseXOR(F.lit(m))).alias(f"m{b}") for b, m in enumerate(_MASKS)])
+    keys = [F.bit_xor(F.xxhash64(F.lit(b), "part", f"m{b}")).alias(f"k{b}") for b in range(BANDS)]
+    bits = [F.call_function("shiftleft", F.col(f"m{b}").bitwiseAND(F.lit(15).cast("long")), 4 * (F.col("part") + 4 * (b % 4))) for b in range(4 * SKETCH)]
+    sketch = [F.coalesce(F.bit_or(F.when(F.col("part") < 4, reduce(Column.bitwiseOR, bits[4 * k : 4 * k + 4]))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SKETCH)]
+    return least.groupBy("alias").agg(*keys, *sketch).select("alias", F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), *_SKETCH)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -87,7 +95,7 @@ def _may_be_alike(a: str, b: str) -> Column:
     ones = F.lit(0x1111111111111111)
     differ = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in _SKETCH]
     marks = [reduce(Column.bitwiseOR, [F.shiftright(x, k) for k in range(4)]).bitwiseAND(ones) for x in differ]
-    return reduce(Column.__add__, map(F.bit_count, marks)) <= BANDS * ROWS - AGREE
+    return reduce(Column.__add__, map(F.bit_count, marks)) <= 16 * SKETCH - AGREE
 
 
 def _may_reach() -> Column:

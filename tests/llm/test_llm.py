@@ -540,6 +540,17 @@ def test_pairs_at_the_similarity_are_found(spark, n_words, changes, opening):
     assert sum(root.get(f"{2 * k:06d}".encode(), 1) == root.get(f"{2 * k + 1:06d}".encode(), 2) for k in range(400)) >= 0.985 * 400
 
 
+def test_signing_hashes_a_string_once(spark):
+    """A string is hashed once and tried in one order for each band; copies of a line give one signature, and lines are sent once."""
+    df = spark.createDataFrame([(b"1", words(30, 1)), (b"1", words(30, 1)), (b"2", "ab"), (b"3", words(5, 2))], "line_id binary, line string").repartition(3)
+    signed = lines.signatures(df)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(") == lines.BANDS and plan.count("substring(") == 1
+    assert signed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = signed.collect()
+    assert len(got) == len({r.alias for r in got}) == 3 and all(len(set(r["keys"])) == lines.BANDS for r in got)
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
